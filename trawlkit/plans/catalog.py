@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawlkit.plans import registry, url_queries  # noqa: F401
+from trawlkit.plans import page_queries, registry, result_queries, stream_queries, url_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
