@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trawlkit.functions import bodies as B
 from trawlkit.functions import urls
+from trawlkit.session import cut_lineage
 
 _ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _LINE = rf"([^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+)"
@@ -19,7 +20,7 @@ def _side(pages: DataFrame, side: str) -> DataFrame:
 def page_compare(pages: DataFrame, pairs: DataFrame, normalize: bool = True) -> DataFrame:
     """For pairs(left, right) of seq in pages(seq, url, body): both URL hashes, both normalised
     lengths, and whether the normalised bodies are the same. Bodies are reduced to a length and
-    a digest before the joins."""
+    a digest, written out once, before the joins."""
     data = F.col("body").cast("binary")
     ready = B.normalize_body(pages, out="_done") if normalize else pages.withColumn("_done", data)
     facts = ready.select(
@@ -28,6 +29,7 @@ def page_compare(pages: DataFrame, pairs: DataFrame, normalize: bool = True) ->
         F.octet_length("_done").cast("bigint").alias("length"),
         F.md5("_done").alias("digest"),
     )
+    facts = cut_lineage(facts)
     joined = pairs.join(_side(facts, "left"), F.col("left") == F.col("seq_left")).join(
         _side(facts, "right"), F.col("right") == F.col("seq_right")
     )

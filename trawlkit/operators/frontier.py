@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.functions import urls
-from trawlkit.session import broadcast_if_small, cut_lineage
+from trawlkit.session import BROADCAST_ROWS, broadcast_if_small, cut_lineage
 
 # Default depths.
 REQUISITES_LEVEL = 5
@@ -57,6 +57,11 @@ def _split_sources(links: DataFrame, per_key: int) -> tuple[DataFrame, DataFrame
     return split.withColumn("part", F.pmod(F.xxhash64("dst"), parts).cast("int")).drop("parts"), heavy
 
 
+def _bounded_count(df: DataFrame) -> int:
+    """Number of rows, at most one more than a broadcast may have."""
+    return df.limit(BROADCAST_ROWS + 1).count()
+
+
 def _merge(rounds: list[DataFrame]) -> DataFrame:
     merged = rounds[0]
     for one in rounds[1:]:
@@ -95,8 +100,10 @@ def expand_frontier(
     newest = cut_lineage(
         seeds.select("job", "url").distinct().select("job", "url", start.alias("reach"), url.alias("root"))
     )
-    rounds = [newest]
+    rounds, size = [newest], _bounded_count(newest)
     for _ in range(max_rounds):
+        if not size:
+            break
         sources = newest.select("job", url.alias("src"), "reach", "root")
         if has_heavy:
             sources = sources.join(broadcast_if_small(heavy), ["job", "src"], "left")
@@ -114,15 +121,15 @@ def expand_frontier(
             F.when(inline, depth + 1).otherwise(F.lit(0)).alias("depth"),
         )
         reached = (
-            broadcast_if_small(sources).join(known, ["job", "src", "part"])
+            (F.broadcast(sources) if size <= BROADCAST_ROWS and not has_heavy else sources)
+            .join(known, ["job", "src", "part"])
             .where(allowed & in_scope(dst, F.col("root"), local, inline, no_parent, offsite))
             .groupBy("job", dst.alias("url"))
             .agg(F.min(F.struct(reach.alias("reach"), "root")).alias("best"))
             .select("job", "url", "best.reach", "best.root")
         )
         newest = cut_lineage(reached.join(_merge(rounds).select("job", "url"), ["job", "url"], "left_anti"))
-        if newest.isEmpty():
-            break
+        size = _bounded_count(newest)
         rounds.append(newest)
         if len(rounds) > ROUNDS_PER_MERGE:
             rounds = [cut_lineage(_merge(rounds))]

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawlkit.operators.running import running
+from trawlkit.session import broadcast_if_small, cut_lineage
 
 BROADCAST_CHANGES = 50_000
 BROADCAST_CHANGES_PER_JOB = 200
@@ -106,7 +107,7 @@ def scrape_gate(events: DataFrame, controls: DataFrame, ts: str = "ts") -> DataF
         .groupBy("job")
         .agg(F.min(F.col("effective_ts").cast("timestamp")).alias("_off"))
     )
-    gated = events.join(off, "job", "left")
+    gated = events.join(broadcast_if_small(off), "job", "left")
     is_off = F.coalesce(F.col(ts).cast("timestamp") >= F.col("_off"), F.lit(False))
     return gated.withColumn("scrape_off", is_off).drop("_off")
 
@@ -118,8 +119,8 @@ def stop_gate(results: DataFrame, controls: DataFrame, ts: str = "ts", order: st
         .groupBy("job")
         .agg(F.min(F.col("effective_ts").cast("timestamp")).alias("_stop"))
     )
-    timed = results.join(stops, "job", "left")
+    timed = results.join(broadcast_if_small(stops), "job", "left")
     past = F.col(ts).cast("timestamp") >= F.col("_stop")
-    last = timed.where(past).groupBy("job").agg(F.min(order).alias("_last"))
-    kept = timed.join(last, "job", "left").where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
+    last = cut_lineage(timed.where(past).groupBy("job").agg(F.min(order).alias("_last")))
+    kept = timed.join(broadcast_if_small(last), "job", "left").where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
     return kept.drop("_stop", "_last")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.session import broadcast_if_small
+from trawlkit.session import broadcast_if_small, cut_lineage
+
+MAX_SUBSCRIBERS = 1000
 
 # Connection modes, relayed message types, fields of job data and messages.
 MODES = ["dashboard", "grabber"]
@@ -51,8 +53,8 @@ def first_hellos(decoded: DataFrame) -> DataFrame:
 
 def after_hello(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
     """Messages sent after their connection's hello, with its mode."""
-    hellos = broadcast_if_small(first_hellos(decoded)) if hellos is None else hellos
-    return decoded.join(hellos, "conn_id").where(F.col("seq") > F.col("hello_seq"))
+    hellos = cut_lineage(first_hellos(decoded)) if hellos is None else hellos
+    return decoded.join(broadcast_if_small(hellos), "conn_id").where(F.col("seq") > F.col("hello_seq"))
 
 
 def known_types(decoded: DataFrame) -> DataFrame:
@@ -92,9 +94,12 @@ def relay(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
 
 
 def fan_out(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """A row per message and subscriber. Subscribers are the connected dashboards.
+    """A row per message and connected dashboard.
 
-    The result is that product by definition; publish once and let readers share it where
-    the copies are not needed.
+    For audiences too large to copy to, publish the messages once and let readers share them.
     """
-    return messages.crossJoin(broadcast_if_small(subscribers.select(F.col("conn_id").alias("subscriber"))))
+    found = [r.conn_id for r in subscribers.select("conn_id").distinct().limit(MAX_SUBSCRIBERS + 1).collect()]
+    if len(found) > MAX_SUBSCRIBERS:
+        raise ValueError(f"more than {MAX_SUBSCRIBERS} subscribers; publish once instead")
+    audience = F.array(*[F.lit(c) for c in sorted(found)]).cast("array<string>")
+    return messages.withColumn("subscriber", F.explode(audience))

@@ -67,6 +67,13 @@ def java_valid(spark, pattern: str) -> bool:
     return True
 
 
+def _read_lines(patterns: DataFrame) -> list[Rule]:
+    rows = pattern_lines(patterns).select("set_name", "line_no", "pattern").limit(MAX_RULE_LINES + 1).collect()
+    if len(rows) > MAX_RULE_LINES:
+        raise ValueError(f"more than {MAX_RULE_LINES} rule lines; rules are configuration, not data")
+    return sorted((Rule(*row) for row in rows), key=lambda r: (r.set_name, r.line_no))
+
+
 def load_rules(patterns: DataFrame, sets: list[str] | None = None) -> RuleSet:
     """Read the rule table (set_name, line_no, pattern) into a RuleSet.
 
@@ -74,20 +81,11 @@ def load_rules(patterns: DataFrame, sets: list[str] | None = None) -> RuleSet:
     """
     spark = patterns.sparkSession
     chosen = patterns if sets is None else patterns.where(F.col("set_name").isin(list(sets)))
-    rows = (
-        pattern_lines(chosen)
-        .select("set_name", "line_no", "pattern")
-        .limit(MAX_RULE_LINES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_RULE_LINES:
-        raise ValueError(f"more than {MAX_RULE_LINES} rule lines; rules are configuration, not data")
     good, bad, seen = [], [], set()
-    for row in sorted(rows, key=lambda r: (r.set_name, r.line_no)):
-        if row.pattern in seen:
+    for rule in _read_lines(chosen):
+        if rule.pattern in seen:
             continue
-        seen.add(row.pattern)
-        rule = Rule(row.set_name, row.line_no, row.pattern)
+        seen.add(rule.pattern)
         probe = rule.pattern.replace(PLACEHOLDER, "x")
         (good if python_valid(probe) and java_valid(spark, probe) else bad).append(rule)
     return RuleSet(good, bad)
@@ -111,24 +109,28 @@ def start_netlocs(seeds: DataFrame, compat_empty_seeds: bool = False) -> DataFra
     return seeds.select("job", urls.url_netloc(F.col("url")).alias("netloc")).distinct()
 
 
+def _literal_rules(rules: list[Rule]) -> Column:
+    columns = ("set_name", "line_no", "pattern")
+    return F.array(*[F.struct(*[F.lit(getattr(r, c)).alias(c) for c in columns]) for r in rules])
+
+
 def expand_patterns(patterns: DataFrame, netlocs: DataFrame) -> DataFrame:
-    """Active patterns as text, placeholders filled in: the list shown to operators.
+    """(job, set_name, line_no, pattern) with placeholders filled in: the list shown to operators.
 
     A report for people; matching never needs the expanded list.
     """
-    lines = pattern_lines(patterns)
-    templated = lines.where(F.col("pattern").contains(PLACEHOLDER))
-    plain = lines.where(~F.col("pattern").contains(PLACEHOLDER))
-    jobs = netlocs.select("job").distinct()
-    # Every templated rule meets every netloc by definition; the rule side is configuration.
-    filled = netlocs.crossJoin(F.broadcast(templated)).select(
-        "job",
-        "set_name",
-        "line_no",
-        F.replace(F.col("pattern"), F.lit(PLACEHOLDER), urls.regex_escape(F.col("netloc"))).alias("pattern"),
-    )
-    kept = jobs.crossJoin(F.broadcast(plain)).select("job", "set_name", "line_no", "pattern")
-    return filled.unionByName(kept)
+    lines = _read_lines(patterns)
+    templated, plain = [r for r in lines if r.templated], [r for r in lines if not r.templated]
+    parts = []
+    if templated:
+        filled = netlocs.select("job", "netloc", F.inline(_literal_rules(templated)))
+        text = F.replace(F.col("pattern"), F.lit(PLACEHOLDER), urls.regex_escape(F.col("netloc")))
+        parts.append(filled.select("job", "set_name", "line_no", text.alias("pattern")))
+    if plain:
+        parts.append(netlocs.select("job").distinct().select("job", F.inline(_literal_rules(plain))))
+    if not parts:
+        return netlocs.sparkSession.createDataFrame([], "job string, set_name string, line_no int, pattern string")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def distinct_patterns(expanded: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ _SNIPPETS = {
     "nb_mailto": (f"""concat('<a href="mailto:u', {_N}, '@h.example">&#97;&#98;&#x63;</a>')""", r'<a href="mailto:[^"@]{1,100}@[^"]{2,100}">(&#[0-9a-fA-Fx]{2,4};){3,100}</a>'),
     "nb_fblike": (f"""concat('<div class="fb-like" data-href="', {_N}, '">x</div>y</div>')""", r'<div class="fb-like" data-href=".*?</div>'),
     "nb_twshare": (f"""concat('<a href="https://twitter.com/share?u=', {_N}, '" class="twitter-share-button a">T</a></a>')""", r'<a href="https?://twitter.com/share[^"]*" class="twitter-share-button.*?</a>'),
-    "nb_canonical": (f"""concat('<link rel="canonical" href="/', {_N}, '" /><meta property="og:url" content="', {_N}, '" />')""", r'<(link rel="(canonical|shortlink|alternate)".{1,1000}?href=|meta property="og:url" content=)"[^"]+" />'),
+    "nb_canonical": (f"""concat('<link rel="canonical" href="/', {_N}, '" /><meta property="og:url" content="', {_N}, '" />')""", r'<(link rel="(canonical|shortlink|alternate)".+?href=|meta property="og:url" content=)"[^"]+" />'),
     "nb_hreflang": (f"""concat('<link href="/', {_N}, '" rel="alternate" hreflang="fr" />')""", r'<link href="[^"]+" rel="alternate" hreflang="[^"]+" />'),
     "nb_hidden": (f"""concat('<input type="hidden" name="t" value="', {_N}, '"/>')""", r'<input type="hidden"[^>]+?>'),
     "nb_flashvars": ("'<param name=\"flashvars\" value=\"servannee=2024&amp;servmois=1&amp;servjour=12&amp;servheure=3&amp;servminute=4&amp;servseconde=59\" />'", r'<param name="flashvars" value="servannee=[0-9]{4}&amp;servmois=[0-9]{1,2}&amp;servjour=[0-9]{1,2}&amp;servheure=[0-9]{1,2}&amp;servminute=[0-9]{1,2}&amp;servseconde=[0-9]{1,2}" />'),
@@ -118,7 +118,7 @@ for _name in _NEEDLES:
     _register_needles(_name, [_name])
 _register_needles("nb_path", list(_NEEDLES))
 
-_CODED = "SELECT page_id, concat('http://h.example/', 'a%20', path, '/') AS url, concat(html, ' a+', replace(path, '/', '%2F'), '; a+', replace(path, '/', '%2f'), '; a%2520') AS body, path FROM (SELECT page_id, html, {0} AS path FROM {{pages}}) AS p".replace("{0}", _PATH)
+_CODED = "SELECT page_id, concat('http://h.example/', 'a%20', path, '/') AS url, concat(html, ' a+', replace(path, '/', '%2F'), '; a+', replace(path, '/', '%2f'), '; a%2520') AS body, path FROM (SELECT page_id, html, {0} AS path FROM {pages}) AS p".replace("{0}", _PATH)
 
 
 @query("nb_path_unq", f"""SELECT page_id, md5(replace(replace(body, concat('a+', replace(path, '/', '%2F')), ''), concat('a+', replace(path, '/', '%2f')), '')) AS digest FROM ({_CODED}) AS b""")
@@ -129,7 +129,7 @@ def nb_path_unq(t):
     return pages.select("page_id", _digest_of(B.strip_needles(F.col("view"), chosen)).alias("digest"))
 
 
-_DEEP = "SELECT page_id, concat('http://h.example/x/y/', repeat('long-', 10), path) AS url, concat(html, ' ', repeat('long-', 10), path, '; ', repeat('long-', 10), replace(path, '/', '_')) AS body, concat(repeat('long-', 10), path) AS sub FROM (SELECT page_id, html, {0} AS path FROM {{pages}}) AS p".replace("{0}", _PATH)
+_DEEP = "SELECT page_id, concat('http://h.example/x/y/', repeat('long-', 10), path) AS url, concat(html, ' ', repeat('long-', 10), path, '; ', repeat('long-', 10), replace(path, '/', '_')) AS body, concat(repeat('long-', 10), path) AS sub FROM (SELECT page_id, html, {0} AS path FROM {pages}) AS p".replace("{0}", _PATH)
 
 
 @query("nb_subpath", f"SELECT page_id, md5(replace(replace(body, sub, ''), replace(sub, '/', '_'), '')) AS digest FROM ({_DEEP}) AS b")
@@ -149,13 +149,12 @@ def nb_query(t):
     return viewed.select("page_id", _digest_of(B.strip_needles(F.col("view"), B.query_needles(F.col("url")))).alias("digest"))
 
 
-@query("limit_comment_strip")
+@query("limit_comment_strip", "SELECT page_id, md5(html) AS digest FROM {pages}")
 def limit_comment_strip(t):
     """Bodies of 1,000 short comments and the page's own: the comments past the thousandth stay."""
     body = F.concat(F.repeat(F.lit("<!--x-->"), 1000), F.col("html"))
-    viewed = t["pages"].select("page_id", "html", B.byte_view(body.cast("binary")).alias("view"))
-    kept = F.md5(B.view_bytes(B.strip_comments(F.col("view")))) == F.md5(F.col("html").cast("binary"))
-    return viewed.select("page_id", kept.alias("own_comments_kept"))
+    viewed = t["pages"].select("page_id", B.byte_view(body.cast("binary")).alias("view"))
+    return viewed.select("page_id", _digest_of(B.strip_comments(F.col("view"))).alias("digest"))
 
 
 # Whole normalisation and duplicates. DuckDB repeats the steps that can touch these pages.
@@ -436,7 +435,12 @@ def sink_cdx(t):
     return t.spark.read.parquet(path).select("url_key", "url", "digest", "length")
 
 
-@query("sink_archive_write")
+@query(
+    "sink_archive_write",
+    """SELECT concat(job, '-00000-', lpad(CAST(file_no AS VARCHAR), 5, '0'), '.warc.gz') AS file FROM (SELECT DISTINCT job,
+         CAST(floor((sum(size) OVER (PARTITION BY job ORDER BY page_id) - size) / 200000.0) AS BIGINT) AS file_no
+       FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS job, strlen(html) AS size FROM {pages}) AS p) AS f""",
+)
 def sink_archive_write(t):
     from trawlkit.sources import warc
 
@@ -453,4 +457,4 @@ def sink_archive_write(t):
     )
     warc.write_archive(A.plan_files(records, ["job", "shard"], limit=200_000), uri, software="trawlkit/1")
     files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"))

@@ -122,13 +122,17 @@ def pred_pattern_line(t):
     return U.pattern_lines(t["pattern_lines"]).select("set_name", "line_no", "pattern")
 
 
-@query("pred_pattern_valid")
+@query(
+    "pred_pattern_valid",
+    f"""SELECT reason, count(*) AS urls, (SELECT CAST(count(DISTINCT pattern) AS INTEGER) FROM {{patterns}} WHERE {_ACTIVE}) AS rules, 2 AS invalid_rules
+       FROM ({_verdict_sql()}) AS v GROUP BY reason""",
+)
 def pred_pattern_valid(t):
-    """Rules of the table and a broken one, with the URLs each valid rule set decides on."""
+    """Verdicts under the rule table with two broken rules in it, which are set aside."""
     broken = t.spark.createDataFrame([("broken", 1, "^https?://.*\\meetup[.]example/"), ("broken", 2, "(")], "set_name string, line_no int, pattern string")
     lines = t["patterns"].unionByName(broken)
     rules = U.load_rules(lines)
-    counted = _summary(_verdicts(t, rules)).groupBy("reason").agg(F.sum("urls").alias("urls"))
+    counted = _verdicts(t, rules).groupBy("reason").agg(F.count("*").alias("urls"))
     return counted.withColumn("rules", F.lit(len(rules.rules))).withColumn("invalid_rules", F.lit(len(rules.invalid)))
 
 
@@ -179,7 +183,7 @@ def limit_first_pattern(t):
     f"SELECT job, set_name, line_no, pattern FROM ({_expanded()}) AS e",
 )
 def join_template_netloc(t):
-    return U.expand_patterns(t["patterns"], U.start_netlocs(t["seeds"])).select("job", "set_name", "line_no", "pattern")
+    return U.expand_patterns(t["patterns"], U.start_netlocs(t["seeds"]))
 
 
 @query("set_union_ignores", f"SELECT job, pattern, set_name, line_no FROM ({_distinct()}) AS d")
