@@ -1,12 +1,15 @@
 """Body normalisation: drop what differs between copies of the same page.
 
 Bodies are bytes. Regexes run on an ISO-8859-1 view, one character per byte, so bounds count
-bytes, and word boundaries are written out for ASCII. Each step keeps one reference to its
-input, so a chain stays linear in the number of steps.
+bytes, and word boundaries are written out for ASCII. A step with rare texts in its pattern is
+tried only on bodies that hold one of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ COMMENT = r"(?s)<!--.{1,4000}?-->"
 FRAGMENTS = {
     "nb_tokens": r'(?:petok|_token|applicationTime)"?:(?:"[-_A-Za-z0-9.]+"|[0-9.]+)',
     "nb_hexruns": r"[A-Fa-f0-9.]{10,256}",
-    "nb_idnum": r'(?<![0-9A-Za-z_])(?:id|name|class)="[^"]{0,100}[-_][0-9]+"',
+    "nb_idnum": r'(?=[inc](?:d|ame|lass)=")(?<![0-9A-Za-z_])(?:id|name|class)="[^"]{0,100}[-_][0-9]+"',
     "nb_mailto": r'<a href="mailto:[^"@]{1,100}@[^"]{2,100}">(?:&#[0-9a-fA-Fx]{2,4};){3,100}</a>',
     "nb_fblike": r'(?d)<div class="fb-like" data-href=".*?</div>',
     "nb_twshare": r'(?d)<a href="https?://twitter.com/share[^"]{0,4096}" class="twitter-share-button.*?</a>',
@@ -40,7 +43,7 @@ FRAGMENTS = {
     "nb_viewing": r"\([0-9]+ Viewing\)",
     "nb_active": r"Currently Active Users</a>: [0-9]+ \([0-9]+ members and [0-9]+ guests\)",
     "nb_cachebust": r"[&?](?:(?:v|cb)=[0-9]+|pos=[A-Za-z0-9=]+)",
-    "nb_numvals": r'(?d)(?:splinks-|var hash = .|":"?)-?[0-9]+',
+    "nb_numvals": r'(?d)(?=[sv"])(?:splinks-|var hash = .|":"?)-?[0-9]+',
     "nb_newrelic": r"(?d)window\.NREUM\|\|\(NREUM=\{\}\);NREUM\.info=\{.{1,3000}?\}",
 }
 DRUPAL_MARK = "Drupal"
@@ -56,6 +59,29 @@ LAST_FRAGMENTS = {
     "nb_bodyclass": r'<(?:body|div)(?: id="[^"]+")? class="[^"]+"(?: class="[^"]+")?(?: data-src="[^"]{1,2000}")?',
 }
 
+# Texts of which a body must hold one for the step to match.
+MARKS = {
+    "nb_tokens": ["petok", "_token", "applicationTime"],
+    "nb_mailto": ['<a href="mailto:'],
+    "nb_canonical": ['<link rel="', '<meta property="og:url"'],
+    "nb_fblike": ['<div class="fb-like"'],
+    "nb_twshare": ["://twitter.com/share"],
+    "nb_hreflang": ['rel="alternate" hreflang='],
+    "nb_hidden": ['<input type="hidden"'],
+    "nb_flashvars": ['value="servannee='],
+    "nb_viewing": [" Viewing)"],
+    "nb_active": ["Currently Active Users"],
+    "nb_cachebust": ["?v=", "&v=", "?cb=", "&cb=", "?pos=", "&pos="],
+    "nb_numvals": ["splinks-", "var hash = ", '":'],
+    "nb_newrelic": ["window.NREUM||"],
+    "nb_dr_settings": ["jQuery.extend("],
+    "nb_dr_domid": ["view-dom-id-"],
+    "nb_dr_views": ['class="views-field'],
+    "nb_dr_crumb": ['class="breadcrumb"'],
+    "nb_dr_css": ["/css_"],
+    "nb_dr_style": ["@import url("],
+}
+
 
 def byte_view(data: Column) -> Column:
     """Bytes as text of one character per byte."""
@@ -122,6 +148,19 @@ def strip_fragments(view: Column, fragments: dict[str, str]) -> Column:
     return view
 
 
+def with_fragments_stripped(df: DataFrame, step: str, fragments: dict[str, str], when: Column | None = None) -> DataFrame:
+    """Apply the fragments to column `step` one after the other, each only where it can match."""
+    view = F.col(step)
+    for name, pattern in fragments.items():
+        tests = [view.contains(mark) for mark in MARKS.get(name, [])]
+        hold = reduce(or_, tests) if tests else None
+        if when is not None:
+            hold = when if hold is None else when & hold
+        done = F.regexp_replace(view, pattern, "")
+        df = df.withColumn(step, done if hold is None else F.when(hold, done).otherwise(view))
+    return df
+
+
 def strip_needles(view: Column, needles: dict[str, Column]) -> Column:
     for needle in needles.values():
         view = F.replace(view, needle, F.lit(""))
@@ -142,10 +181,11 @@ def with_normal_view(df: DataFrame, view: str, url: str, out: str) -> DataFrame:
     body = strip_needles(F.col(view), path_needles(F.col(path)))
     body = strip_needles(body, path_needles(F.col(sub)))
     body = strip_needles(body, query_needles(F.col(url)))
-    body = strip_fragments(strip_comments(body), FRAGMENTS)
-    stepped = named.withColumn(step, body)
-    cleaned = F.when(F.col(drupal), strip_fragments(F.col(step), DRUPAL_FRAGMENTS)).otherwise(F.col(step))
-    return stepped.withColumn(out, strip_fragments(cleaned, LAST_FRAGMENTS)).drop(path, sub, drupal, step)
+    stepped = named.withColumn(step, strip_comments(body))
+    stepped = with_fragments_stripped(stepped, step, FRAGMENTS)
+    stepped = with_fragments_stripped(stepped, step, DRUPAL_FRAGMENTS, F.col(drupal))
+    stepped = with_fragments_stripped(stepped, step, LAST_FRAGMENTS)
+    return stepped.withColumn(out, F.col(step)).drop(path, sub, drupal, step)
 
 
 def normalize_body(df: DataFrame, body: str = "body", url: str = "url", out: str = "normal_body") -> DataFrame:

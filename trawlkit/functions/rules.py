@@ -19,6 +19,10 @@ PLACEHOLDER = "{any_start_netloc}"
 PREFIX_TEMPLATE = "^https?://" + PLACEHOLDER + "/"
 MAX_HOSTS = 64
 
+# Words so common in URLs that they tell rules apart badly.
+COMMON_WORDS = {"http", "https", "www", "com", "org", "net", "html", "php", "index"}
+WORD = "[A-Za-z0-9]+"
+
 _REPEATS = {sre.MAX_REPEAT, sre.MIN_REPEAT}
 
 
@@ -82,6 +86,17 @@ def must_contain(pattern: str) -> str | None:
     return max(runs, key=len) if runs else None
 
 
+def must_hold_word(pattern: str) -> str | None:
+    """A whole word (letters and digits, other characters around it) every matching URL holds."""
+    tree = _parse(pattern)
+    words = set()
+    for run in _runs(tree) if tree is not None else []:
+        for found in re.finditer(WORD, run):
+            if 0 < found.start() and found.end() < len(run):
+                words.add(found.group())
+    return max(words, key=lambda w: (w not in COMMON_WORDS, len(w), w)) if words else None
+
+
 def _choices(op, arg) -> list[str] | None:
     """All texts one item can match, if they are few and known."""
     if op is sre.LITERAL:

@@ -2,8 +2,9 @@
 
 Rules are operator configuration (set files of some hundred lines); they become expressions of
 the plan. URLs never leave their partition for matching: a rule bound to known hosts is only
-tried on URLs of those hosts, every rule only on URLs holding its longest fixed text, and rules
-with the start-netloc placeholder become one join on the URL's authority.
+tried on URLs of those hosts, other rules only on URLs with a word some rule needs, every rule
+only on URLs holding its longest fixed text, and rules with the start-netloc placeholder become
+one join on the URL's authority.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from trawlkit.functions import urls
 from trawlkit.functions.rules import (
     PLACEHOLDER,
     PREFIX_TEMPLATE,
+    WORD,
     anchored_hosts,
     must_contain,
+    must_hold_word,
     python_valid,
     to_java,
 )
@@ -139,15 +142,39 @@ def distinct_patterns(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("job", "pattern").agg(origin).select("job", "pattern", "origin.set_name", "origin.line_no")
 
 
-def _test(url: Column, regex: str, literal: str | None) -> Column:
-    hit = url.rlike(regex)
-    return hit if literal is None else url.contains(literal) & hit
+@dataclass(frozen=True)
+class _Test:
+    """A rule as tried on a URL: its place, its regex, and what a URL must hold for it."""
 
+    index: int
+    regex: str
+    text: str | None
+    word: str | None
 
-def _first(url: Column, tests: list[tuple[int, str, str | None]]) -> Column:
-    if not tests:
-        return F.lit(None).cast("int")
-    return F.coalesce(*[F.when(_test(url, regex, literal), F.lit(i)) for i, regex, literal in tests])
+    def on(self, url: Column) -> Column:
+        hit = url.rlike(self.regex)
+        return F.when(hit if self.text is None else url.contains(self.text) & hit, F.lit(self.index))
+
+
+def _test(index: int, pattern: str) -> _Test:
+    return _Test(index, to_java(pattern), must_contain(pattern), must_hold_word(pattern))
+
+
+def _chain(url: Column, tests: list[_Test]) -> Column:
+    """First test that hits. Run inside a lambda, so the plan's generated code stays small
+    enough to be compiled."""
+    return F.element_at(F.transform(F.array(url), lambda u: F.coalesce(*[t.on(u) for t in tests])), 1)
+
+
+def _first(url: Column, words: Column, tests: list[_Test]) -> Column:
+    gated, rest = [t for t in tests if t.word], [t for t in tests if not t.word]
+    parts = []
+    if gated:
+        wanted = sorted({t.word for t in gated})
+        parts.append(F.when(F.exists(words, lambda w: w.isin(wanted)), _chain(url, gated)))
+    if rest:
+        parts.append(_chain(url, rest))
+    return parts[0] if len(parts) == 1 else F.least(*parts)
 
 
 def _generic_template(pattern: str) -> str:
@@ -165,27 +192,30 @@ def _by_set(indexed: list[tuple[int, Rule]]) -> dict[str, list[tuple[int, Rule]]
     return grouped
 
 
-def first_rule(url: Column, authority: Column, on_start_netloc: Column, rules: RuleSet, active_sets: Column | None = None) -> Column:
-    """Index of the first rule that matches, null for none (floating templates apart)."""
+def first_rule(
+    url: Column, words: Column, authority: Column, on_start_netloc: Column, rules: RuleSet, active_sets: Column | None = None
+) -> Column:
+    """Index of the first rule that matches, null for none (floating templates apart).
+
+    `words` are all matches of WORD in the URL.
+    """
     parts = []
     for set_name, members in _by_set(list(enumerate(rules.rules))).items():
         anchored, templated, generic, hosts = [], [], [], set()
         for i, rule in members:
             if rule.prefix_templated:
-                regex = _generic_template(rule.pattern)
-                templated.append((i, to_java(regex), must_contain(regex)))
+                templated.append(_test(i, _generic_template(rule.pattern)))
             elif not rule.templated:
-                test = (i, to_java(rule.pattern), must_contain(rule.pattern))
-                found = anchored_hosts(rule.pattern)
-                (generic if found is None else anchored).append(test)
-                hosts.update(found or [])
+                listed = anchored_hosts(rule.pattern)
+                (generic if listed is None else anchored).append(_test(i, rule.pattern))
+                hosts.update(listed or [])
         found = []
         if anchored:
-            found.append(F.when(authority.isin(sorted(hosts)), _first(url, anchored)))
+            found.append(F.when(authority.isin(sorted(hosts)), _chain(url, anchored)))
         if templated:
-            found.append(F.when(on_start_netloc, _first(url, templated)))
+            found.append(F.when(on_start_netloc, _first(url, words, templated)))
         if generic:
-            found.append(_first(url, generic))
+            found.append(_first(url, words, generic))
         if active_sets is not None:
             found = [F.when(F.array_contains(active_sets, set_name), f) for f in found]
         parts += found
@@ -242,7 +272,7 @@ def match_rules(
     """Add `ignored` and the blamed `pattern` (placeholder filled in) to candidates(job, url, ...)."""
     netlocs = start_netlocs(seeds, compat_empty_seeds)
     authority = urls.slash_authority(F.col("url"))
-    marked = candidates.withColumn("_authority", authority)
+    marked = candidates.withColumns({"_authority": authority, "_words": F.regexp_extract_all(F.col("url"), F.lit(WORD), 0)})
     floating = _floating_hits(candidates, netlocs, rules)
     if any(r.prefix_templated for r in rules.rules):
         flags = netlocs.select("job", F.col("netloc").alias("_authority"), F.lit(True).alias("_start"))
@@ -250,8 +280,10 @@ def match_rules(
     else:
         marked = marked.withColumn("_start", F.lit(False))
     sets = None if active_sets is None else F.col(active_sets)
-    hit = first_rule(F.col("url"), F.col("_authority"), F.coalesce(F.col("_start"), F.lit(False)), rules, sets)
-    marked = marked.withColumn("_rule", hit)
+    on_start = F.coalesce(F.col("_start"), F.lit(False))
+    hit = first_rule(F.col("url"), F.col("_words"), F.col("_authority"), on_start, rules, sets)
+    # Unnesting keeps later filters from running the rules a second time.
+    marked = marked.select("*", F.inline(F.array(F.struct(hit.alias("_rule")))))
     filled = F.lit(None).cast("string")
     if floating is not None:
         marked = marked.join(floating, ["job", "url"], "left")
@@ -270,7 +302,7 @@ def match_rules(
     return (
         marked.withColumn("ignored", F.col("_rule").isNotNull())
         .withColumn("pattern", blamed)
-        .drop("_authority", "_start", "_rule", "_filled")
+        .drop("_authority", "_words", "_start", "_rule", "_filled")
     )
 
 
