@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.functions import urls
+from trawlkit.functions.pinned import with_pinned
 
 # Smallest lengths at which a piece of the URL is removed from the body.
 MIN_PATH = 5
@@ -185,7 +186,7 @@ def with_normal_view(df: DataFrame, view: str, url: str, out: str) -> DataFrame:
     stepped = with_fragments_stripped(stepped, step, FRAGMENTS)
     stepped = with_fragments_stripped(stepped, step, DRUPAL_FRAGMENTS, F.col(drupal))
     stepped = with_fragments_stripped(stepped, step, LAST_FRAGMENTS)
-    return stepped.withColumn(out, F.col(step)).drop(path, sub, drupal, step)
+    return with_pinned(stepped, **{out: F.col(step)}).drop(path, sub, drupal, step)
 
 
 def normalize_body(df: DataFrame, body: str = "body", url: str = "url", out: str = "normal_body") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.functions import urls
+from trawlkit.functions.pinned import with_pinned
 
 _TAG = (
     r"(?is)(<(?:a|area|img|script|link|source|video|audio|iframe|embed)\b"
@@ -55,7 +56,7 @@ def extract_links(pages: DataFrame, page: str = "seq", body: str = "body") -> Da
 
 def resolve_links(links: DataFrame, base: str = "url", link: str = "link", out: str = "dst_url") -> DataFrame:
     """Add the absolute link; links that are no page address (mailto:, javascript:) are dropped."""
-    resolved = links.withColumn(out, urls.resolve_url(F.col(base), F.col(link)))
+    resolved = with_pinned(links, **{out: urls.resolve_url(F.col(base), F.col(link))})
     return resolved.where(F.col(out).rlike("^(?i)(https?|ftp)://"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.functions import urls
+from trawlkit.functions.pinned import with_pinned
 from trawlkit.functions.rules import (
     PLACEHOLDER,
     PREFIX_TEMPLATE,
@@ -282,8 +283,7 @@ def match_rules(
     sets = None if active_sets is None else F.col(active_sets)
     on_start = F.coalesce(F.col("_start"), F.lit(False))
     hit = first_rule(F.col("url"), F.col("_words"), F.col("_authority"), on_start, rules, sets)
-    # Unnesting keeps later filters from running the rules a second time.
-    marked = marked.select("*", F.inline(F.array(F.struct(hit.alias("_rule")))))
+    marked = with_pinned(marked, _rule=hit)
     filled = F.lit(None).cast("string")
     if floating is not None:
         marked = marked.join(floating, ["job", "url"], "left")
