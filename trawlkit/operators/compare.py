@@ -45,9 +45,10 @@ def page_lines(text: Column) -> Column:
 def line_diff(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left, right, line, surplus): how many more times the right page has the line.
 
-    Lines of a page are counted once, then sent to the pairs that need them.
+    Lines of a page are counted once, then sent to the pairs that need them. Bytes that are no
+    UTF-8 become replacement characters.
     """
-    text = F.decode(F.col("body").cast("binary"), "UTF-8") if dict(pages.dtypes)["body"] == "binary" else F.col("body")
+    text = F.make_valid_utf8(F.col("body").cast("string"))
     lines = pages.select("seq", F.explode(page_lines(text)).alias("line")).groupBy("seq", "line").agg(F.count("*").alias("n"))
     sides = pairs.select("left", "right", F.col("left").alias("seq"), F.lit(-1).alias("sign")).unionByName(
         pairs.select("left", "right", F.col("right").alias("seq"), F.lit(1).alias("sign"))
