@@ -17,21 +17,22 @@ _NETLOCS = "SELECT DISTINCT job, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) A
 _OUT = ["job", "seq", "url", "reason", "accepted", "pattern"]
 
 
-def _expanded(where: str = "true") -> str:
+def _expanded(where: str = "true", jobs: str = "{seeds}") -> str:
+    """Templated rules per start netloc, plain rules once per job of `jobs`."""
     return f"""SELECT n.job, p.set_name, p.line_no, replace(p.pattern, '{{{{any_start_netloc}}}}', {_ESCAPE}) AS pattern
         FROM {{patterns}} AS p JOIN ({_NETLOCS}) AS n ON contains(p.pattern, '{{{{any_start_netloc}}}}') WHERE {_ACTIVE} AND {where}
       UNION ALL SELECT j.job, p.set_name, p.line_no, p.pattern FROM {{patterns}} AS p
-        JOIN (SELECT DISTINCT job FROM {{seeds}}) AS j ON NOT contains(p.pattern, '{{{{any_start_netloc}}}}') WHERE {_ACTIVE} AND {where}"""
+        JOIN (SELECT DISTINCT job FROM {jobs}) AS j ON NOT contains(p.pattern, '{{{{any_start_netloc}}}}') WHERE {_ACTIVE} AND {where}"""
 
 
-def _distinct(where: str = "true") -> str:
+def _distinct(where: str = "true", jobs: str = "{seeds}") -> str:
     return f"""SELECT job, pattern, o.set_name AS set_name, o.line_no AS line_no FROM (SELECT job, pattern,
-      min({{{{'set_name': set_name, 'line_no': line_no}}}}) AS o FROM ({_expanded(where)}) AS e GROUP BY job, pattern) AS g"""
+      min({{{{'set_name': set_name, 'line_no': line_no}}}}) AS o FROM ({_expanded(where, jobs)}) AS e GROUP BY job, pattern) AS g"""
 
 
 def _blamed(where: str = "true") -> str:
     return f"""SELECT c.job, c.seq, c.url, c.verdict, min_by(d.pattern, {{{{'s': d.set_name, 'l': d.line_no}}}}) AS blamed
-      FROM {{candidates}} AS c LEFT JOIN ({_distinct(where)}) AS d ON c.job = d.job AND regexp_matches(c.url, d.pattern)
+      FROM {{candidates}} AS c LEFT JOIN ({_distinct(where, "{candidates}")}) AS d ON c.job = d.job AND regexp_matches(c.url, d.pattern)
       GROUP BY c.job, c.seq, c.url, c.verdict"""
 
 
