@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawlkit.functions import bodies as B
 from trawlkit.functions import urls
-from trawlkit.session import cut_lineage
+from trawlkit.session import written_table
 
 _ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _LINE = rf"([^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+)"
@@ -29,7 +29,7 @@ def page_compare(pages: DataFrame, pairs: DataFrame, normalize: bool = True) ->
         F.octet_length("_done").cast("bigint").alias("length"),
         F.md5("_done").alias("digest"),
     )
-    facts = cut_lineage(facts)
+    facts = written_table(facts, "facts")
     joined = pairs.join(_side(facts, "left"), F.col("left") == F.col("seq_left")).join(
         _side(facts, "right"), F.col("right") == F.col("seq_right")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trawlkit.functions import bodies as B
 from trawlkit.functions import headers as H
-from trawlkit.session import broadcast_if_small, cut_lineage
+from trawlkit.session import broadcast_if_small, lookup_side, written_table
 
 # Fixed value: bodies of this size and above are neither compared nor remembered.
 BODY_LIMIT = 30 * 1024 * 1024
@@ -25,7 +25,7 @@ def is_eligible(body: Column) -> Column:
 
 def is_html(body: Column, headers: Column | None = None) -> Column:
     """By Content-Type if headers are given, or by how the body begins."""
-    starts = B.byte_view(F.substring(body.cast("binary"), 1, 512)).rlike(_HTML_START)
+    starts = B.byte_view(body.cast("binary")).rlike(_HTML_START)
     if headers is None:
         return starts
     kind = F.lower(H.first_header(headers, "Content-Type"))
@@ -45,24 +45,29 @@ def page_digests(pages: DataFrame, html: Column | None = None) -> DataFrame:
 
 
 def first_seen(digests: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Earliest URL of each digest."""
+    """Earliest URL of each digest, and how often the digest occurs."""
     first = F.min(F.struct("seq", "url")).alias("first")
-    grouped = digests.where(F.col("digest").isNotNull()).groupBy(*(scope or []), "digest").agg(first)
-    return grouped.select(*(scope or []), "digest", F.col("first.url").alias("first_url"), F.col("first.seq").alias("first_seq"))
+    grouped = digests.where(F.col("digest").isNotNull()).groupBy(*(scope or []), "digest").agg(first, F.count("*").alias("times"))
+    return grouped.select(
+        *(scope or []), "digest", F.col("first.url").alias("first_url"), F.col("first.seq").alias("first_seq"), "times"
+    )
 
 
 def mark_dupes(digests: DataFrame, known: DataFrame | None = None, scope: list[str] | None = None) -> DataFrame:
     """Add `dupe_of` (null for the page kept) to rows that carry a digest.
 
-    `known` (scope..., digest, first_url) holds digests seen in earlier runs.
+    `known` (scope..., digest, first_url) holds digests seen in earlier runs. Rows are joined
+    only to digests that occur again; a digest with very many rows is split by AQE.
     """
     keys = [*(scope or []), "digest"]
-    marked = digests.join(first_seen(digests, scope), keys, "left")
-    dupe_of = F.when(F.col("seq") > F.col("first_seq"), F.col("first_url"))
+    firsts = first_seen(digests, scope)
+    older = F.lit(None).cast("string").alias("_older")
     if known is not None:
-        older = known.select(*keys, F.col("first_url").alias("_older"))
-        marked = marked.join(older, keys, "left")
-        dupe_of = F.coalesce(F.col("_older"), dupe_of)
+        firsts = firsts.join(known.select(*keys, F.col("first_url").alias("_older")), keys, "left")
+        older = F.col("_older")
+    again = firsts.where((F.col("times") > 1) | older.isNotNull()).select(*keys, "first_url", "first_seq", older)
+    marked = digests.join(lookup_side(again), keys, "left")
+    dupe_of = F.coalesce(F.col("_older"), F.when(F.col("seq") > F.col("first_seq"), F.col("first_url")))
     return marked.withColumn("dupe_of", dupe_of).drop("first_url", "first_seq", "_older")
 
 
@@ -81,7 +86,7 @@ def detect_dupes(
     columns = [*(scope or []), "seq", "url"]
     if not enabled:
         return pages.select(*columns, F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("dupe_of"))
-    digests = cut_lineage(page_digests(pages, html).select(*columns, "digest"))
+    digests = written_table(page_digests(pages, html).select(*columns, "digest"), "digests")
     return mark_dupes(digests, known, scope).select(*columns, "digest", "dupe_of")
 
 
@@ -93,7 +98,7 @@ def links_of_fresh_pages(links: DataFrame, marked: DataFrame, key: str = "src")
 
 def stored_bodies(wanted: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bodies kept under md5(url), and the URLs that are not there yet."""
-    keyed = wanted.select("url").distinct().withColumn("url_md5", F.md5(F.encode("url", "UTF-8")))
+    keyed = broadcast_if_small(wanted.select("url").distinct().withColumn("url_md5", F.md5(F.encode("url", "UTF-8"))))
     found = keyed.join(store.select("url_md5", "body"), "url_md5")
     missing = keyed.join(store.select("url_md5"), "url_md5", "left_anti")
     return found, missing

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trawlkit.operators.running import running
-from trawlkit.session import broadcast_if_small, cut_lineage
+from trawlkit.session import broadcast_if_small, lookup_side
 
 BROADCAST_CHANGES = 50_000
 BROADCAST_CHANGES_PER_JOB = 200
@@ -75,7 +75,7 @@ def settings_asof(events: DataFrame, controls: DataFrame, names: list[str], ts:
         return timed.join(spans, inside, "left").drop("_job", "_at", "_until", "_ets")
     instants = timed.select("job", F.col("_ets").alias("_at")).distinct()
     values = _filled_at(states, instants, names).withColumnRenamed("_at", "_ets")
-    return timed.join(values, ["job", "_ets"], "left").drop("_ets")
+    return timed.join(lookup_side(values), ["job", "_ets"], "left").drop("_ets")
 
 
 def changed_controls(controls: DataFrame, version: str = "value", order: str = "effective_ts") -> DataFrame:
@@ -121,6 +121,6 @@ def stop_gate(results: DataFrame, controls: DataFrame, ts: str = "ts", order: st
     )
     timed = results.join(broadcast_if_small(stops), "job", "left")
     past = F.col(ts).cast("timestamp") >= F.col("_stop")
-    last = cut_lineage(timed.where(past).groupBy("job").agg(F.min(order).alias("_last")))
-    kept = timed.join(broadcast_if_small(last), "job", "left").where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
+    last = lookup_side(timed.where(past).groupBy("job").agg(F.min(order).alias("_last")))
+    kept = timed.join(last, "job", "left").where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
     return kept.drop("_stop", "_last")

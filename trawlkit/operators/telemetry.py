@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.session import broadcast_if_small, cut_lineage
+from trawlkit.session import broadcast_if_small, lookup_side
 
 MAX_SUBSCRIBERS = 1000
 
@@ -52,8 +52,8 @@ def first_hellos(decoded: DataFrame) -> DataFrame:
 
 def after_hello(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
     """Messages sent after their connection's hello, with its mode."""
-    hellos = cut_lineage(first_hellos(decoded)) if hellos is None else hellos
-    return decoded.join(broadcast_if_small(hellos), "conn_id").where(F.col("seq") > F.col("hello_seq"))
+    hellos = lookup_side(first_hellos(decoded)) if hellos is None else broadcast_if_small(hellos)
+    return decoded.join(hellos, "conn_id").where(F.col("seq") > F.col("hello_seq"))
 
 
 def known_types(decoded: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from trawlkit.operators import archive as A
 from trawlkit.operators import compare, dupes, frontier, links
 from trawlkit.operators import settings as S
 from trawlkit.plans.registry import add, query
-from trawlkit.session import scratch_path
+from trawlkit.session import lookup_side, scratch_path
 
 _N = "CAST(page_id AS STRING)"
 
@@ -204,13 +204,13 @@ def _plain_digests(t):
 
 @query("agg_first_seen", _FIRST.format(_PLAIN_DIGESTS))
 def agg_first_seen(t):
-    return dupes.first_seen(_plain_digests(t))
+    return dupes.first_seen(_plain_digests(t)).drop("times")
 
 
 @query("join_digest_lookup", f"SELECT d.seq, f.first_url FROM ({_PLAIN_DIGESTS}) AS d JOIN ({_FIRST.format(_PLAIN_DIGESTS)}) AS f ON d.digest = f.digest")
 def join_digest_lookup(t):
     digests = _plain_digests(t)
-    return digests.join(dupes.first_seen(digests), "digest").select("seq", "first_url")
+    return digests.join(lookup_side(dupes.first_seen(digests)), "digest").select("seq", "first_url")
 
 
 @query("win_dupe_of", _marked_sql(_PLAIN_DIGESTS))

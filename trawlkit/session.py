@@ -62,6 +62,23 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def written_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows as a table in the shared checkpoint folder, without a known partitioning."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; a larger side is left to a shuffle join."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+    """A lookup side: broadcast only after counting.
+
+    A larger side is written out first. The join then stands on two plain shuffles, and AQE can
+    split the keys that hold too many rows of the other side.
+    """
+    return F.broadcast(df) if small_enough(df, rows) else written_table(df, "lookup")
+
+
+def lookup_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same for a side that is costly to compute: written out before it is counted."""
+    table = written_table(df, "lookup")
+    return F.broadcast(table) if small_enough(table, rows) else table

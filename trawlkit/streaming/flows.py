@@ -92,7 +92,7 @@ def stream_dupes(pages: DataFrame, store: str, path: str, checkpoint: str, once:
         marked = dupes.detect_dupes(batch_df, known=known)
         marked.write.mode("overwrite").parquet(_batch_folder(path, batch))
         fresh = spark.read.parquet(_batch_folder(path, batch)).where(F.col("dupe_of").isNull())
-        firsts = dupes.first_seen(fresh).select("digest", "first_url", "first_seq")
+        firsts = dupes.first_seen(fresh).drop("times")
         firsts.write.mode("overwrite").parquet(_batch_folder(store, batch))
 
     return run(pages, each, checkpoint, once=once)
