@@ -176,6 +176,7 @@ MESSAGES = [
     ("g", {"type": "download", "job_data": {"ident": "j", "r2xx": 3}, "url": "u", "response_code": 200, "response_message": "OK"}),
     ("g", {"type": "stdout", "job_data": {"ident": "j"}, "message": "m"}),
     ("g", {"type": "ignore", "job_data": {"ident": "j"}, "url": "u", "pattern": "p"}),
+    ("g", {"type": "download", "job_data": {"ident": "j"}, "url": "u", "response_code": 0, "response_message": None}),
     ("g", {"type": "other", "job_data": {}}),
     ("g", {"type": "ignore", "job_data": {"ident": "j"}, "url": "no pattern"}),
     ("g", "{broken"),
@@ -186,15 +187,16 @@ RELAYED = [
     {"type": "download", "job_data": {"ident": "j", "r2xx": 3}, "url": "u", "response_code": 200, "wget_code": "OK"},
     {"type": "stdout", "job_data": {"ident": "j"}, "message": "m"},
     {"type": "ignore", "job_data": {"ident": "j"}, "url": "u", "pattern": "p"},
+    {"type": "download", "job_data": {"ident": "j"}, "url": "u", "response_code": 0},
 ]
 
 
 def test_relay(spark):
     decoded = T.decode_messages(messages_table(spark, MESSAGES))
-    assert [r.seq for r in decoded.where("malformed").collect()] == [9]
+    assert [r.seq for r in decoded.where("malformed").collect()] == [10]
     assert [json.loads(r.relayed) for r in T.relay(decoded).orderBy("seq").collect()] == RELAYED
     copies = T.fan_out(T.relay(decoded), spark.createDataFrame([("d",), ("e",)], "conn_id string"))
-    assert Counter(r.subscriber for r in copies.collect()) == {"d": 3, "e": 3}
+    assert Counter(r.subscriber for r in copies.collect()) == {"d": 4, "e": 4}
 
 
 def test_relay_stream_over_several_batches(spark, tmp_path):

@@ -82,6 +82,12 @@ def test_status_classes(spark):
     assert row == {"job": "j", "r1xx": 0, "r2xx": 1, "r3xx": 1, "r4xx": 0, "r5xx": 1, "runk": 5}
 
 
+def test_ftp_codes_win(spark):
+    table = spark.createDataFrame([("j", 200, 550, None, 1), ("j", 200, None, None, 2)], "job string, status_code int, ftp_code int, error string, body_size int")
+    row = C.job_counters(table, ["job"]).first()
+    assert (row.r2xx, row.r5xx, row.bytes_downloaded) == (1, 1, 3)
+
+
 def test_attempts(spark):
     rows = [("a", 1, 500), ("a", 2, 200), ("b", 1, 404), ("c", 1, 500), ("d", 1, 500), ("d", 2, 500), ("d", 3, 500)]
     table = spark.createDataFrame(rows, "url string, seq int, status int")

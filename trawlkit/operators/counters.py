@@ -13,14 +13,15 @@ CLASSES = ["r1xx", "r2xx", "r3xx", "r4xx", "r5xx", "runk"]
 TRIES = 3
 
 
-def class_of(status: str = "status_code", error: str = "error", ftp: str | None = None) -> Column:
-    code = V.result_code(F.col(status), F.col(ftp) if ftp else None)
-    return V.status_class(code, F.col(error))
+def class_of(results: DataFrame) -> Column:
+    """Class of results(status_code, error) or results(status_code, ftp_code, error)."""
+    ftp = F.col("ftp_code") if "ftp_code" in results.columns else None
+    return V.status_class(V.result_code(F.col("status_code"), ftp), F.col("error"))
 
 
 def class_counts(results: DataFrame, keys: list[str]) -> DataFrame:
     counted = [F.count_if(F.col("_class") == c).alias(c) for c in CLASSES]
-    return results.withColumn("_class", class_of()).groupBy(*keys).agg(*counted)
+    return results.withColumn("_class", class_of(results)).groupBy(*keys).agg(*counted)
 
 
 def bytes_downloaded(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def job_counters(results: DataFrame, keys: list[str]) -> DataFrame:
     """All counters of a crawl in one pass over its results."""
     counted = [F.count_if(F.col("_class") == c).alias(c) for c in CLASSES]
     size = F.sum(F.coalesce(F.col("body_size"), F.lit(0))).alias("bytes_downloaded")
-    return results.withColumn("_class", class_of()).groupBy(*keys).agg(size, *counted)
+    return results.withColumn("_class", class_of(results)).groupBy(*keys).agg(size, *counted)
 
 
 def running_counters(results: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
@@ -47,7 +48,7 @@ def running_counters(results: DataFrame, keys: list[str], order: str = "seq") ->
     values = {"bytes_downloaded": ("sum", F.coalesce(F.col("body_size"), F.lit(0)))}
     for c in CLASSES:
         values[c] = ("sum", (F.col("_class") == c).cast("bigint"))
-    return running(results.withColumn("_class", class_of()), keys, order, values).drop("_class")
+    return running(results.withColumn("_class", class_of(results)), keys, order, values).drop("_class")
 
 
 def latest_snapshot(messages: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +34,15 @@ _REQUIRED = {
 
 
 def decode_messages(messages: DataFrame) -> DataFrame:
-    """Add the fields of the JSON payload; `malformed` marks payloads without a usable type."""
-    parsed = F.from_json(F.col("payload").cast("string"), MESSAGE, {"mode": "PERMISSIVE"})
+    """Add the fields of the JSON payload. `malformed` marks payloads without a usable type,
+    `complete` those with every field their type must have, be it null."""
+    text = F.col("payload").cast("string")
+    parsed = F.from_json(text, MESSAGE, {"mode": "PERMISSIVE"})
     # Unnesting keeps later filters above the parser, which then runs once per message.
-    decoded = messages.select(*messages.columns, F.inline_outer(F.array(parsed)))
-    return decoded.withColumn("malformed", F.col("type").isNull())
+    decoded = messages.select(*messages.columns, F.json_object_keys(text).alias("_keys"), F.inline_outer(F.array(parsed)))
+    whole = [(F.col("type") == kind) & F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(F.col("_keys"), n)) for kind, names in _REQUIRED.items()]
+    complete = F.coalesce(reduce(or_, whole), F.lit(False))
+    return decoded.withColumns({"malformed": F.col("type").isNull(), "complete": complete}).drop("_keys")
 
 
 def first_hellos(decoded: DataFrame) -> DataFrame:
@@ -60,19 +67,8 @@ def known_types(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("type").isin(RELAYED))
 
 
-def _complete() -> Column:
-    """All fields the type must have are there."""
-    checks = F.lit(False)
-    for kind, names in _REQUIRED.items():
-        present = F.lit(True)
-        for name in names:
-            present = present & F.col(name).isNotNull()
-        checks = checks | ((F.col("type") == kind) & present)
-    return checks
-
-
 def relay_json() -> Column:
-    """The message as dashboards get it; the response text goes by another name."""
+    """The message as dashboards get it; the response text goes by another name, nulls are left out."""
     return F.to_json(
         F.struct(
             F.col("type"),
@@ -88,7 +84,7 @@ def relay_json() -> Column:
 
 def relay(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
     """(conn_id, seq, type, relayed) of complete messages sent by grabbers after their hello."""
-    sent = known_types(after_hello(decoded, hellos)).where((F.col("conn_mode") == "grabber") & _complete())
+    sent = known_types(after_hello(decoded, hellos)).where((F.col("conn_mode") == "grabber") & F.col("complete"))
     return sent.select("conn_id", "seq", "type", relay_json().alias("relayed"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trawlkit.operators import url_rules as U
 from trawlkit.plans import page_queries, result_queries, url_queries
 from trawlkit.plans.registry import query
 from trawlkit.session import scratch_path
