@@ -90,10 +90,11 @@ def detect_dupes(
     return mark_dupes(digests, known, scope).select(*columns, "digest", "dupe_of")
 
 
-def links_of_fresh_pages(links: DataFrame, marked: DataFrame, key: str = "src") -> DataFrame:
-    """Links of pages that are no duplicates; `marked` has (seq, dupe_of)."""
-    dupes = marked.where(F.col("dupe_of").isNotNull()).select(F.col("seq").alias(key)).distinct()
-    return links.join(broadcast_if_small(dupes), key, "left_anti")
+def links_of_fresh_pages(links: DataFrame, marked: DataFrame, key: str = "src", scope: list[str] | None = None) -> DataFrame:
+    """Links of pages that are no duplicates; `marked` has (scope..., seq, dupe_of)."""
+    keys = [*(scope or []), key]
+    dupes = marked.where(F.col("dupe_of").isNotNull()).withColumnRenamed("seq", key).select(*keys).distinct()
+    return links.join(broadcast_if_small(dupes), keys, "left_anti")
 
 
 def stored_bodies(wanted: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:

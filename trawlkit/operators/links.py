@@ -26,9 +26,10 @@ def _plain(text):
     return F.replace(F.trim(text), F.lit("&amp;"), F.lit("&"))
 
 
-def extract_links(pages: DataFrame, page: str = "seq", body: str = "body") -> DataFrame:
-    """(page, url, ord, link, link_type, inline) for href, src and srcset of page tags."""
-    tags = pages.select(page, "url", F.posexplode(F.regexp_extract_all(F.col(body).cast("string"), F.lit(_TAG), 1)).alias("_pos", "_tag"))
+def extract_links(pages: DataFrame, page: str = "seq", body: str = "body", scope: list[str] | None = None) -> DataFrame:
+    """(scope..., page, url, ord, link, link_type, inline) for href, src and srcset of page tags."""
+    keys = [*(scope or []), page, "url"]
+    tags = pages.select(*keys, F.posexplode(F.regexp_extract_all(F.col(body).cast("string"), F.lit(_TAG), 1)).alias("_pos", "_tag"))
     name = F.lower(F.regexp_extract("_tag", r"^<([A-Za-z]+)", 1))
     targets = F.flatten(
         F.array(
@@ -37,7 +38,7 @@ def extract_links(pages: DataFrame, page: str = "seq", body: str = "body") -> Da
         )
     )
     named = tags.withColumns({"_name": name, "_links": F.filter(targets, lambda t: F.trim(t) != "")})
-    opened = named.select(page, "url", "_pos", "_name", F.posexplode("_links").alias("_sub", "_raw"))
+    opened = named.select(*keys, "_pos", "_name", F.posexplode("_links").alias("_sub", "_raw"))
     kind = (
         F.when(F.col("_name").isin(_MEDIA_TAGS), F.lit("media"))
         .when(F.col("_name") == "script", F.lit("javascript"))
@@ -45,8 +46,7 @@ def extract_links(pages: DataFrame, page: str = "seq", body: str = "body") -> Da
         .otherwise(F.lit("html"))
     )
     return opened.select(
-        page,
-        "url",
+        *keys,
         (F.col("_pos") * 4096 + F.col("_sub")).cast("bigint").alias("ord"),
         _plain(F.col("_raw")).alias("link"),
         kind.alias("link_type"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions import urls, values
 from trawlkit.operators import queue as Q
 from trawlkit.operators import url_rules as U
+from trawlkit.plans.crawl_round import crawl_round
 from trawlkit.plans.registry import add, query
 from trawlkit.session import scratch_path
 from trawlkit.sources import tables as S
@@ -350,6 +351,25 @@ def fx_extra_quora(t):
     return t["pages"].select("page_id", urls.share_variant(asked).alias("extra"))
 
 
+# A whole round: accepted pages, links of those seen first, links put to the rules.
+
+_TARGETS = f"""SELECT DISTINCT v.job, concat(regexp_extract(v.url, '^([a-z]+://[^/]*)', 1), h.link) AS url FROM ({_verdict_sql()}) AS v
+    JOIN (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM {{pages}}) AS h ON v.seq = h.page_id WHERE v.accepted OR v.reason = 'seed' OR v.reason = 'passed'"""
+
+
+@query(
+    "crawl_round",
+    f"""SELECT t.job, t.url FROM ({_TARGETS}) AS t WHERE NOT EXISTS (SELECT 1 FROM {{candidates}} AS c WHERE c.job = t.job AND c.url = t.url)
+        AND NOT EXISTS (SELECT 1 FROM ({_distinct("true", "{candidates}")}) AS d WHERE d.job = t.job AND regexp_matches(t.url, d.pattern))""",
+)
+def crawl_round_queue(t):
+    """URLs to queue after the pages were fetched."""
+    heads = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html").alias("value")))
+    bodies = t["pages"].select(F.col("page_id").alias("seq"), F.col("html").cast("binary").alias("body"))
+    responses = t["candidates"].select("job", "seq", "url").join(bodies, "seq").select("*", F.lit("HTTP/1.1").alias("version"), heads.alias("headers"))
+    return crawl_round(responses, t["seeds"], U.load_rules(t["patterns"])).queue
+
+
 # Queue.
 
 _JOINED = "SELECT u.url, q.status FROM {queued_urls} AS q JOIN {url_strings} AS u ON q.url_string_id = u.id"
