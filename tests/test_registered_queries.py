@@ -5,8 +5,9 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
+from trawlkit.plans import catalog
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +15,8 @@ def db():
     return oracle.connect(DATA)
 
 
-def test_every_query_has_a_statement():
-    assert set(STATEMENTS) == set(QUERIES)
+def test_every_crawl_query_has_a_statement():
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
