@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawlkit.llm.common import MARK, rebuilt, with_outputs
+from trawlkit.functions.pinned import with_pinned
+from trawlkit.llm.common import MARK, rebuilt
 
 # Score an additional kind needs; a base kind is kept whatever its score.
 LEAST_SCORE = 0.6
@@ -97,59 +98,90 @@ KINDS = (
     Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda f: F.lit(True), 0.9, "mail|contact", has("@")),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", parts_below_256, 0.5, r"\bip\b|address|host|server|login", like(r"[0-9]\.[0-9]")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", card_number, 0.9, "card|visa|master|credit|payment", like(r"[0-9](?:[\x20-]?[0-9]){13}")),
-    Kind("phone", r"\+[0-9][\x20().0-9-]*[0-9]", digit_count(10, 15), 0.8, "phone|tel|call|mobile|fax|whatsapp", has("+")),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", digit_count(10, 15), 0.8, "phone|tel|call|mobile|fax|whatsapp", has("+")),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank", like(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"), False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", social_number, 0.4, r"\bssn\b|social security|tax", like("[0-9]-[0-9]{2}-[0-9]"), False),
-    Kind("local_phone", r"(?<![0-9+(.\x20-])(?:\x20)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", digit_count(10, 10), 0.4, "phone|tel|call|mobile|fax|whatsapp", like(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"), False),
+    Kind("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", digit_count(10, 10), 0.4, "phone|tel|call|mobile|fax|whatsapp", like(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"), False),
 )
 BASE = tuple(k for k in KINDS if k.base)
 # Redaction replaces a phone before the card that may lie inside it.
 REDACTION_ORDER = ("email", "iban", "phone", "card", "ip", "ssn", "local_phone")
 
 
-def running_sums(numbers: Column) -> Column:
-    """Sums up to and with each entry. Two levels, as appending to one array copies it each time."""
-    size = F.size(numbers)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
-    starts = F.sequence(F.lit(0), F.floor((size - 1) / width).cast("int"))
-    blocks = F.transform(starts, lambda b: F.slice(numbers, b * width + 1, width))
-    grow = lambda base, entries: F.aggregate(entries, F.array(base), lambda done, x: F.array_append(done, F.element_at(done, -1) + x))
-    totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda done, x: done + x))
-    before = grow(F.lit(0).cast("long"), totals)
-    within = F.transform(blocks, lambda block, b: F.slice(grow(F.element_at(before, b + 1), block), F.lit(2), width))
-    return F.when(size > 0, F.flatten(within)).otherwise(F.array().cast("array<bigint>"))
+def _column(what: str, kind: Kind) -> str:
+    return f"{MARK}{what}_{kind.name}"
 
 
-def _pieces(text: Column, kind: Kind) -> tuple[Column, Column]:
-    """The text between finds, one more than the finds; the finds."""
-    searched = kind.hint(text)
-    pieces = F.when(searched, F.split(text, kind.pattern, -1)).otherwise(F.array(text))
-    finds = F.when(searched, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return pieces, finds
+def _add_finds(df: DataFrame, text: str, kinds: tuple[Kind, ...]) -> DataFrame:
+    """Per kind the text between finds, one piece more than finds, and the finds."""
+    body, columns = F.col(f"`{text}`"), {}
+    for kind in kinds:
+        searched = kind.hint(body)
+        columns[_column("pieces", kind)] = F.when(searched, F.split(body, kind.pattern, -1)).otherwise(F.array(body))
+        finds = F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))
+        columns[_column("finds", kind)] = F.when(searched, finds).otherwise(F.array().cast("array<string>"))
+    return with_pinned(df, **columns)
 
 
-def add_kind(df: DataFrame, text: str, kind: Kind, rank: int) -> DataFrame:
-    """The kind's pieces, finds and ends, and its confirmed spans in a column of its name."""
-    pieces, finds, ends = (f"{MARK}{n}_{kind.name}" for n in ("pieces", "finds", "ends"))
-    between, found = _pieces(F.col(f"`{text}`"), kind)
-    df = df.withColumn(pieces, between).withColumn(finds, found)
-    steps = F.transform(finds, lambda find, i: (F.length(find) + F.length(F.get(pieces, i))).cast("long"))
-    df = df.withColumn(ends, running_sums(steps))
+def _score(kind: Kind, i: Column) -> Column:
+    """The kind's score, more where the text next to the find, up to its neighbours, has a context word."""
+    pieces = F.col(_column("pieces", kind))
+    near = F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(BEFORE)), F.left(F.get(pieces, i + 1), F.lit(AFTER)))
+    gain = F.when(F.lower(near).rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+    return F.least(F.lit(1.0), F.lit(kind.score) + gain)
+
+
+def _accepted(kind: Kind, find: Column, i: Column) -> Column:
+    return kind.confirmed(find) if kind.base else kind.confirmed(find) & (_score(kind, i) >= LEAST_SCORE)
+
+
+def _add_ends(df: DataFrame) -> DataFrame:
+    """Where each find ends: running sums of the lengths of pieces and finds.
+
+    In blocks of about the root of their number, as appending to an array copies it each time. Each
+    step is pinned, since an expression inside a lambda is evaluated once per entry.
+    """
+
+    def lengths(kind: Kind) -> Column:
+        pieces = F.col(_column("pieces", kind))
+        return F.transform(_column("finds", kind), lambda find, i: (F.length(find) + F.length(F.get(pieces, i))).cast("long"))
+
+    def blocks(kind: Kind) -> Column:
+        steps = F.col(_column("steps", kind))
+        width = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        starts = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int"))
+        cut = F.transform(starts, lambda b: F.slice(steps, b * width + 1, width))
+        return F.when(F.size(steps) > 0, cut).otherwise(F.array().cast("array<array<bigint>>"))
+
+    zero = F.lit(0).cast("long")
+
+    def sums(start: Column, entries: Column) -> Column:
+        return F.aggregate(entries, F.array(start), lambda done, x: F.array_append(done, F.element_at(done, -1) + x))
+
+    def before(kind: Kind) -> Column:
+        totals = F.transform(_column("blocks", kind), lambda block: F.aggregate(block, zero, lambda done, x: done + x))
+        return sums(zero, totals)
+
+    def ends(kind: Kind) -> Column:
+        start = F.col(_column("before", kind))
+        within = F.transform(_column("blocks", kind), lambda block, b: F.slice(sums(F.get(start, b), block), F.lit(2), F.size(block)))
+        return F.flatten(within)
+
+    for what, make in (("steps", lengths), ("blocks", blocks), ("before", before), ("ends", ends)):
+        df = with_pinned(df, **{_column(what, kind): make(kind) for kind in KINDS})
+    return df
+
+
+def _spans(kind: Kind, rank: int) -> Column:
+    ends = F.col(_column("ends", kind))
 
     def span(find: Column, i: Column) -> Column:
-        end = F.get(ends, i)
-        near = F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(BEFORE)), F.left(F.get(pieces, i + 1), F.lit(AFTER)))
-        gain = F.when(F.lower(near).rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        score = F.least(F.lit(1.0), F.lit(kind.score) + gain)
         return F.struct(
-            (end - F.length(find)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
-            F.lit(kind.name).alias("kind"), score.alias("score"), kind.confirmed(find).alias("confirmed"),
+            (F.get(ends, i) - F.length(find)).alias("start"), F.lit(rank).alias("rank"), F.get(ends, i).alias("end"),
+            F.lit(kind.name).alias("kind"), _score(kind, i).alias("score"), _accepted(kind, find, i).alias("accepted"),
         )
 
-    spans = F.filter(F.transform(finds, span), lambda s: s["confirmed"])
-    if not kind.base:
-        spans = F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
-    return df.withColumn(f"{MARK}{kind.name}", spans)
+    return F.filter(F.transform(_column("finds", kind), span), lambda s: s["accepted"])
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -162,18 +194,17 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     repeated results. Own columns of the output names give way.
     """
     work = docs.withColumn(f"{MARK}text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    for rank, kind in enumerate(KINDS):
-        work = add_kind(work, f"{MARK}text", kind, rank)
-    base = F.array_sort(F.concat(*[F.col(f"{MARK}{k.name}") for k in BASE]))
-    work = work.withColumn(f"{MARK}base", base)
-    more = F.concat(*[F.col(f"{MARK}{k.name}") for k in KINDS if not k.base])
+    work = _add_ends(_add_finds(work, f"{MARK}text", KINDS))
+    work = with_pinned(work, **{_column("spans", kind): _spans(kind, rank) for rank, kind in enumerate(KINDS)})
+    base, more = (F.concat(*[F.col(_column("spans", k)) for k in KINDS if k.base == own]) for own in (True, False))
+    work = with_pinned(work, **{f"{MARK}base": F.array_sort(base), f"{MARK}more": more})
     apart = lambda s: ~F.exists(f"{MARK}base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    every = F.array_sort(F.concat(F.col(f"{MARK}base"), F.filter(more, apart)))
+    every = F.array_sort(F.concat(F.col(f"{MARK}base"), F.filter(f"{MARK}more", apart)))
     shape = lambda spans: F.transform(spans, lambda s: F.struct(*[s[n].alias(n) for n in ("start", "end", "kind", "score")]))
-    counts = {f"n_{k.name}": F.size(f"{MARK}{k.name}").cast("long") for k in BASE}
+    counts = {f"n_{k.name}": F.size(_column("spans", k)).cast("long") for k in BASE}
     outputs = {**counts, "base_spans": shape(F.col(f"{MARK}base")), "personal_spans": shape(every)}
     own = [c for c in docs.columns if c.lower() not in outputs]
-    return rebuilt(with_outputs(work, outputs), [*own, *outputs])
+    return with_pinned(work.drop(*[c for c in docs.columns if c.lower() in outputs]), **outputs).select(*[F.col(f"`{c}`") for c in [*own, *outputs]])
 
 
 def joined_spans(spans: str) -> Column:
@@ -187,20 +218,19 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     as it then is, so overlapping finds are replaced once.
     """
     by_name = {k.name: k for k in KINDS}
-    work = docs.withColumn(f"{MARK}body", F.col(f"`{text}`"))
+    work = docs.withColumn(f"{MARK}body_", F.col(f"`{text}`"))
     for name in REDACTION_ORDER:
-        work = _without(add_kind(work, f"{MARK}body", by_name[name], 0), name)
-    return rebuilt(work.withColumn(text, F.col(f"{MARK}body")), docs.columns)
+        work = _redact_kind(work, by_name[name])
+    return rebuilt(work.withColumn(text, F.col(f"{MARK}body_")), docs.columns)
 
 
-def _without(work: DataFrame, name: str) -> DataFrame:
-    pieces, finds, ends = (f"{MARK}{n}_{name}" for n in ("pieces", "finds", "ends"))
-    sure = F.transform(f"{MARK}{name}", lambda s: s["end"])
+def _redact_kind(work: DataFrame, kind: Kind) -> DataFrame:
+    work = _add_finds(work, f"{MARK}body_", (kind,))
+    pieces, finds = F.col(_column("pieces", kind)), F.col(_column("finds", kind))
 
     def shown(find: Column, i: Column) -> Column:
-        gone = F.array_contains(sure, F.get(ends, i))
-        return F.concat(F.get(pieces, i), F.when(gone, F.lit(f"[{name.upper()}]")).otherwise(find))
+        return F.concat(F.get(pieces, i), F.when(_accepted(kind, find, i), F.lit(f"[{kind.name.upper()}]")).otherwise(find))
 
     whole = F.concat(F.array_join(F.transform(finds, shown), ""), F.element_at(pieces, -1))
-    body = F.when(F.size(f"{MARK}{name}") > 0, whole).otherwise(F.col(f"{MARK}body"))
-    return work.withColumn(f"{MARK}body", body).drop(pieces, finds, ends, f"{MARK}{name}")
+    body = F.when(F.size(finds) > 0, whole).otherwise(F.col(f"{MARK}body_"))
+    return with_pinned(work, **{f"{MARK}next": body}).drop(f"{MARK}body_", *[_column(w, kind) for w in ("pieces", "finds")]).withColumnRenamed(f"{MARK}next", f"{MARK}body_")
