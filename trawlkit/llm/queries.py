@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm import lines, personal_data
+from trawlkit.llm import language, lines, personal_data
 from trawlkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query()
+def op1_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    predicted = language.predict(docs.select("doc_id", "text"), language.train(docs), keep_text=False)
+    return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query()
 def op6_personal_data(spark, folder):
     found = personal_data.find_personal_data(table(spark, folder, "documents"))
