@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm import language, lines, personal_data
+from trawlkit.llm import language, lines, packing, personal_data, pieces
 from trawlkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op1_language_id(spark, folder):
     return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query()
+def op3_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
+
+
 @query()
 def op6_personal_data(spark, folder):
     found = personal_data.find_personal_data(table(spark, folder, "documents"))
@@ -51,6 +56,15 @@ def op6_personal_data(spark, folder):
     )
 
 
+@query()
+def op7_sentencepiece(spark, folder):
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    wanted = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), columns=wanted)
+
+
 @query(f"""
 WITH parts AS (
   SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS line,
