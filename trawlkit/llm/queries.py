@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm import language, lines, packing, personal_data, pieces
+from trawlkit.llm import language, lines, packing, personal_data, pieces, topk, vector_neighbours
 from trawlkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,11 +41,48 @@ def op1_language_id(spark, folder):
     return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.c, v.c), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op2_top_k(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query()
 def op3_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query("""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reached(node, other) AS (
+  SELECT vec_id, vec_id FROM usable UNION SELECT r.node, p.b FROM reached r JOIN pairs p ON r.other = p.a
+), named AS (SELECT node, min(other) AS component_id FROM reached GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT u.vec_id, coalesce(c.n, 0) AS n_links, n.component_id, u.vec_id = n.component_id AS kept
+FROM usable u JOIN named n ON u.vec_id = n.node LEFT JOIN counted c ON u.vec_id = c.a
+""")
+def op5_near_vectors(spark, folder):
+    return vector_neighbours.near_vectors(table(spark, folder, "embeddings"))
+
+
 @query()
 def op6_personal_data(spark, folder):
     found = personal_data.find_personal_data(table(spark, folder, "documents"))
