@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm import language, lines, packing, personal_data, pieces, topk, vector_neighbours
+from trawlkit.llm import language, lines, packing, personal_data, pieces, topk, toxicity, vector_neighbours
 from trawlkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,13 @@ def op3_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query()
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, toxicity.grade_labels(table(spark, folder, "labels")), n_grades=3)
+    return toxicity.predict(docs, model, keep_text=False)
+
+
 @query("""
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
