@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 # Bytes of text handled at once in a task; a longer text is a portion of its own.
-PORTION = 4 << 20
+PORTION = 1 << 20
 
 
 def portions(batches: Iterator[pa.RecordBatch], text: str, size: int = PORTION) -> Iterator[pa.RecordBatch]:

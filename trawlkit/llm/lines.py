@@ -77,8 +77,9 @@ def drop_spread_lines(
     """
     lines = written_table(site_lines(docs, text, site).select(TEXT, SITE, LINE), "site-lines")
     spread = written_table(spread_lines(lines, min_sites, lg_registers), "spread-lines")
-    # Which lines go depends on the text alone, so copies of a text share one list.
-    gone = lines.join(spread, LINE).groupBy(TEXT).agg(F.collect_set(LINE).alias(GONE))
+    # Which lines go depends on the text alone, so copies of a text share one list. The lists are
+    # written, so that the join has a plain shuffle on either side and AQE can split a hot text.
+    gone = written_table(lines.join(spread, LINE).groupBy(TEXT).agg(F.collect_set(LINE).alias(GONE)), "gone-lines")
     body = F.col(f"`{text}`")
     parts = F.split(body, "\n")
     stays = lambda part: ~F.coalesce(F.array_contains(F.col(GONE), line_hash(part)), F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm import language, lines, packing, personal_data, pieces, topk, toxicity, vector_neighbours
+from trawlkit.llm import language, lines, packing, personal_data, pieces, shingle_join, topk, toxicity, vector_neighbours
 from trawlkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 def op8_line_dedup(spark, folder):
     kept = lines.drop_spread_lines(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query()
+def op10_ngram_join(spark, folder):
+    return shingle_join.similar_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
