@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm import language, lines, packing, personal_data, pieces, shingle_join, topk, toxicity, vector_neighbours
+from trawlkit.llm import language, lines, packing, personal_data, pieces, repeats, shingle_join, topk, toxicity, vector_neighbours
 from trawlkit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,9 @@ def op8_line_dedup(spark, folder):
 @query()
 def op10_ngram_join(spark, folder):
     return shingle_join.similar_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op9_repeats(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, keep_bytes=False)
