@@ -114,6 +114,38 @@ def test_extract_links(spark):
     assert [r.dst_url for r in links.resolve_links(links.extract_links(table)).orderBy("ord").collect()][:2] == ["http://h/p?a=1&b=2", "http://h/r"]
 
 
+def extracted(spark, *pages):
+    table = spark.createDataFrame([(i, "http://h/d/p", b) for i, b in enumerate(pages)], "seq int, url string, body string")
+    return [(r.seq, r.link) for r in links.extract_links(table).orderBy("seq", "ord").collect()]
+
+
+def test_long_tags_neither_crash_nor_hide_links(spark):
+    for n in (10**5, 10**7):
+        long = "x" * n
+        pages = [f'<a {long} href="/p">', f'<a title="{long}" href="/q">', f'<a {"y=1 " * (n // 4)}href=/r>', f'<a "{long}', f"<img srcset='{long} 1x, b 2x'>"]
+        assert extracted(spark, *pages) == [(0, "/p"), (1, "/q"), (2, "/r"), (4, long), (4, "b")]
+
+
+@pytest.mark.parametrize(
+    ("srcset", "found"),
+    [("a.png 1x,b.png 2x", ["a.png", "b.png"]), ("a.png, b.png", ["a.png", "b.png"]), ("a,b 1x", ["a,b"]), (" , a 1x , , b", ["a", "b"]), ("a 1x(,),b,, c 10w", ["a", "b", "c"]), ("data:x,y 1x, z", ["data:x,y", "z"]), (",", [])],
+)
+def test_srcset_candidates(spark, srcset, found):
+    assert [link for _, link in extracted(spark, f'<img srcset="{srcset}">')] == found
+
+
+def test_entities_are_decoded_once(spark):
+    html = '<a href="/a?x=1&#38;y&#x3d;2&amp;amp;&lt;&nope;&#0;&#55296;&#128512;">'
+    assert extracted(spark, html) == [(0, "/a?x=1&y=2&amp;<&nope;\ufffd\ufffd\U0001f600")]
+
+
+def test_base_decides_what_links_are_relative_to(spark):
+    html = '<base target=x><base href="/other/"><a href="r"><a href="http://z/">'
+    table = spark.createDataFrame([(1, "http://h/d/p", html.replace("<base target=x>", "")), (2, "http://h/d/p", '<a href="r">')], "seq int, url string, body string")
+    got = links.resolve_links(links.extract_links(table)).orderBy("seq", "ord").collect()
+    assert [r.dst_url for r in got] == ["http://h/other/r", "http://z/", "http://h/d/r"]
+
+
 def test_extra_links(spark):
     table = spark.createDataFrame([("https://www.quora.com/a",), ("https://pbs.twimg.com/media/a",), ("http://x/",)], "url string")
     assert {(r.dst_url, r.inline) for r in links.extra_links(table).collect()} == {("https://www.quora.com/a?share=1", False), ("https://pbs.twimg.com/media/a:orig", True)}
@@ -176,7 +208,7 @@ MESSAGES = [
     ("g", {"type": "download", "job_data": {"ident": "j", "r2xx": 3}, "url": "u", "response_code": 200, "response_message": "OK"}),
     ("g", {"type": "stdout", "job_data": {"ident": "j"}, "message": "m"}),
     ("g", {"type": "ignore", "job_data": {"ident": "j"}, "url": "u", "pattern": "p"}),
-    ("g", {"type": "download", "job_data": {"ident": "j"}, "url": "u", "response_code": 0, "response_message": None}),
+    ("g", {"type": "download", "job_data": {"ident": "j", "new": [1, None, {"b": 1.5, "a": None}], "ok": True}, "url": "u", "response_code": "0", "response_message": None}),
     ("g", {"type": "other", "job_data": {}}),
     ("g", {"type": "ignore", "job_data": {"ident": "j"}, "url": "no pattern"}),
     ("g", "{broken"),
@@ -187,7 +219,7 @@ RELAYED = [
     {"type": "download", "job_data": {"ident": "j", "r2xx": 3}, "url": "u", "response_code": 200, "wget_code": "OK"},
     {"type": "stdout", "job_data": {"ident": "j"}, "message": "m"},
     {"type": "ignore", "job_data": {"ident": "j"}, "url": "u", "pattern": "p"},
-    {"type": "download", "job_data": {"ident": "j"}, "url": "u", "response_code": 0},
+    {"type": "download", "job_data": {"ident": "j", "new": [1, None, {"b": 1.5, "a": None}], "ok": True}, "url": "u", "response_code": "0", "wget_code": None},
 ]
 
 
@@ -197,6 +229,8 @@ def test_relay(spark):
     assert [json.loads(r.relayed) for r in T.relay(decoded).orderBy("seq").collect()] == RELAYED
     copies = T.fan_out(T.relay(decoded), spark.createDataFrame([("d",), ("e",)], "conn_id string"))
     assert Counter(r.subscriber for r in copies.collect()) == {"d": 4, "e": 4}
+    many = spark.range(2500).select(F.concat(F.lit("c"), "id").alias("conn_id"))
+    assert T.fan_out(T.relay(decoded), many).count() == 10_000
 
 
 def test_relay_stream_over_several_batches(spark, tmp_path):

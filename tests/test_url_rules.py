@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from trawlkit.functions.rules import PLACEHOLDER, anchored_hosts, must_contain, must_hold_word
 from trawlkit.operators import url_rules as U
-from trawlkit.sources.rule_sets import starter_patterns, starter_sets
 
 RULES = [
     ("global", 1, r"^https?://(www\.)?share\.example/submit\?"),
@@ -146,12 +145,6 @@ def test_anchored_hosts(pattern, hosts):
     assert anchored_hosts(pattern) == hosts
 
 
-def test_starter_sets_are_valid(spark):
-    rules = U.load_rules(starter_patterns(spark))
-    assert not rules.invalid
-    assert len(rules.rules) == len({p for lines in starter_sets().values() for p in lines})
-
-
 def test_result_does_not_depend_on_partitions(spark):
     rows = [("a", i, u, True) for i, u in enumerate(random_urls(300))]
     table = spark.createDataFrame(rows, "job string, seq int, url string, verdict boolean")

@@ -77,7 +77,6 @@ def expand_frontier(
     offsite: bool = True,
     no_parent: bool = True,
     links_per_key: int = LINKS_PER_KEY,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Reached URLs of seeds(job, url) over links(job, src, dst, inline).
 
@@ -101,9 +100,7 @@ def expand_frontier(
         seeds.select("job", "url").distinct().select("job", "url", start.alias("reach"), url.alias("root"))
     )
     rounds, size = [newest], _bounded_count(newest)
-    for _ in range(max_rounds):
-        if not size:
-            break
+    while size:
         sources = newest.select("job", url.alias("src"), "reach", "root")
         if has_heavy:
             sources = sources.join(broadcast_if_small(heavy), ["job", "src"], "left")
@@ -133,8 +130,6 @@ def expand_frontier(
         rounds.append(newest)
         if len(rounds) > ROUNDS_PER_MERGE:
             rounds = [cut_lineage(_merge(rounds))]
-    else:
-        raise RuntimeError(f"frontier still growing after {max_rounds} rounds")
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return _merge(rounds).select(
         "job", "url", "reach.level", "reach.depth", F.element_at(kinds, F.col("reach.kind") + 1).alias("kind"), "root"

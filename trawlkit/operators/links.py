@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.functions import urls
+from trawlkit.functions.markup import decode_entities
 from trawlkit.functions.pinned import with_pinned
 
-_TAG = (
-    r"(?is)(<(?:a|area|img|script|link|source|video|audio|iframe|embed)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"
-)
+# Possessive runs: the matcher neither recurses nor goes back, however long a tag is.
+_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_TAG = rf"(?is)(<(?:a|area|img|script|link|source|video|audio|iframe|embed)\b{_REST})"
+_BASE = rf"(?is)(<base\b{_REST})"
+# A candidate of a srcset: a run without white space, whose commas at the end part it from the next;
+# else its descriptors go on to the next comma outside of parentheses.
+_CANDIDATE = r"[\s,]*+([^\s,](?:\S*[^\s,])?)(?:,++(?=\s|$)|(?=\s|$)(?:[^,(]++|\([^)]*+\)?+)*+)"
 _ATTR = r"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _INLINE_TAGS = ["img", "script", "link", "source", "video", "audio", "embed"]
 _MEDIA_TAGS = ["img", "source", "video", "audio", "embed"]
@@ -23,18 +27,26 @@ def _attr(tag, name: str):
 
 
 def _plain(text):
-    return F.replace(F.trim(text), F.lit("&amp;"), F.lit("&"))
+    return decode_entities(F.trim(text))
 
 
 def extract_links(pages: DataFrame, page: str = "seq", body: str = "body", scope: list[str] | None = None) -> DataFrame:
-    """(scope..., page, url, ord, link, link_type, inline) for href, src and srcset of page tags."""
-    keys = [*(scope or []), page, "url"]
-    tags = pages.select(*keys, F.posexplode(F.regexp_extract_all(F.col(body).cast("string"), F.lit(_TAG), 1)).alias("_pos", "_tag"))
+    """(scope..., page, url, base, ord, link, link_type, inline) for href, src and srcset of page tags.
+
+    base is what the page's links are relative to: its first <base href>, else its own URL. ord
+    ascends in the order of the page. Entities are decoded.
+    """
+    keys = [*(scope or []), page, "url", "base"]
+    text = F.col(body).cast("string")
+    href = _plain(_attr(F.regexp_extract(text, _BASE, 1), "href"))
+    base = F.when(text.rlike("(?i)<base\\b") & (href != ""), urls.resolve_url(F.col("url"), href)).otherwise(F.col("url"))
+    based = with_pinned(pages.drop("base").withColumn("_text", text), base=base)
+    tags = based.select(*keys, F.posexplode(F.regexp_extract_all("_text", F.lit(_TAG), 1)).alias("_pos", "_tag"))
     name = F.lower(F.regexp_extract("_tag", r"^<([A-Za-z]+)", 1))
     targets = F.flatten(
         F.array(
             F.array(_attr(F.col("_tag"), "(?:href|src)")),
-            F.transform(F.split(_attr(F.col("_tag"), "srcset"), r",\s+", -1), lambda s: F.regexp_extract(s, r"^\s*(\S+)", 1)),
+            F.regexp_extract_all(_attr(F.col("_tag"), "srcset"), F.lit(_CANDIDATE), 1),
         )
     )
     named = tags.withColumns({"_name": name, "_links": F.filter(targets, lambda t: F.trim(t) != "")})
@@ -47,15 +59,19 @@ def extract_links(pages: DataFrame, page: str = "seq", body: str = "body", scope
     )
     return opened.select(
         *keys,
-        (F.col("_pos") * 4096 + F.col("_sub")).cast("bigint").alias("ord"),
+        (F.shiftleft(F.col("_pos").cast("bigint"), 32) + F.col("_sub")).alias("ord"),
         _plain(F.col("_raw")).alias("link"),
         kind.alias("link_type"),
         F.col("_name").isin(_INLINE_TAGS).alias("inline"),
     )
 
 
-def resolve_links(links: DataFrame, base: str = "url", link: str = "link", out: str = "dst_url") -> DataFrame:
-    """Add the absolute link; links that are no page address (mailto:, javascript:) are dropped."""
+def resolve_links(links: DataFrame, base: str | None = None, link: str = "link", out: str = "dst_url") -> DataFrame:
+    """Add the absolute link; links that are no page address (mailto:, javascript:) are dropped.
+
+    Links are relative to the column base, where there is none to url.
+    """
+    base = base or ("base" if "base" in links.columns else "url")
     resolved = with_pinned(links, **{out: urls.resolve_url(F.col(base), F.col(link))})
     return resolved.where(F.col(out).rlike("^(?i)(https?|ftp)://"))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from trawlkit.session import broadcast_if_small, lookup_side
 
-MAX_SUBSCRIBERS = 1000
+# Subscribers that one row of the fan-out holds as an array.
+AUDIENCE = 1000
 
 # Connection modes, relayed message types, fields of job data and messages.
 MODES = ["dashboard", "grabber"]
@@ -25,6 +26,7 @@ MESSAGE = (
     f"type string, mode string, user_agent string, url string, job_data {JOB_DATA}, response_code int, "
     "response_message string, message string, pattern string"
 )
+RENAMED = {"response_message": "wget_code"}
 _REQUIRED = {
     "download": ["job_data", "url", "response_code", "response_message"],
     "stdout": ["job_data", "message"],
@@ -67,19 +69,27 @@ def known_types(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("type").isin(RELAYED))
 
 
+def _as_sent(name: str) -> Column:
+    """A field's JSON text as it came, null and of any type; SQL null only where it is missing."""
+    text = F.col("payload").cast("string")
+    value = F.to_json(F.variant_get(F.try_parse_json(text), f"$.{name}", "variant"))
+    # A variant sorts the keys of objects, the text keeps them in their order.
+    return F.when(value.rlike(r"^[\[{]"), F.get_json_object(text, f"$.{name}")).otherwise(value)
+
+
 def relay_json() -> Column:
-    """The message as dashboards get it; the response text goes by another name, nulls are left out."""
-    return F.to_json(
-        F.struct(
-            F.col("type"),
-            F.col("job_data"),
-            F.when(F.col("type").isin("download", "ignore"), F.col("url")).alias("url"),
-            F.when(F.col("type") == "download", F.col("response_code")).alias("response_code"),
-            F.when(F.col("type") == "download", F.col("response_message")).alias("wget_code"),
-            F.when(F.col("type").isin("stdout", "stderr"), F.col("message")).alias("message"),
-            F.when(F.col("type") == "ignore", F.col("pattern")).alias("pattern"),
-        )
-    )
+    """The message as dashboards get it; the response text goes by another name.
+
+    Values pass through unchanged: job data with all its fields, nulls, values of other types.
+    """
+
+    def message(kind: str) -> Column:
+        parts = [F.lit(f'{{"type":"{kind}"')]
+        for name in _REQUIRED[kind]:
+            parts += [F.lit(f',"{RENAMED.get(name, name)}":'), _as_sent(name)]
+        return F.concat(*parts, F.lit("}"))
+
+    return F.coalesce(*[F.when(F.col("type") == kind, message(kind)) for kind in RELAYED])
 
 
 def relay(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
@@ -89,12 +99,14 @@ def relay(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
 
 
 def fan_out(messages: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """A row per message and connected dashboard.
+    """A row per message and connected dashboard: the product is what is asked for.
 
+    Subscribers are kept in arrays of about AUDIENCE, messages meet each array by its number.
     For audiences too large to copy to, publish the messages once and let readers share them.
     """
-    found = [r.conn_id for r in subscribers.select("conn_id").distinct().limit(MAX_SUBSCRIBERS + 1).collect()]
-    if len(found) > MAX_SUBSCRIBERS:
-        raise ValueError(f"more than {MAX_SUBSCRIBERS} subscribers; publish once instead")
-    audience = F.array(*[F.lit(c) for c in sorted(found)]).cast("array<string>")
-    return messages.withColumn("subscriber", F.explode(audience))
+    distinct = subscribers.select("conn_id").distinct()
+    arrays = max(1, -(-distinct.count() // AUDIENCE))
+    spot = F.pmod(F.xxhash64("conn_id"), F.lit(arrays)).cast("int").alias("_array")
+    audience = distinct.groupBy(spot).agg(F.collect_list("conn_id").alias("_audience"))
+    sent = messages.withColumn("_array", F.explode(F.sequence(F.lit(0), F.lit(arrays - 1))))
+    return sent.join(audience, "_array").withColumn("subscriber", F.explode("_audience")).drop("_array", "_audience")

@@ -9,6 +9,8 @@ one join on the URL's authority.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,8 @@ from trawlkit.functions.rules import (
 )
 from trawlkit.session import broadcast_if_small
 
-MAX_RULE_LINES = 20_000
+# Rules of one chain of tests, which is one expression.
+CHAIN_RULES = 500
 
 # Reasons given by verdict_url.
 DATA_URI, SEED, IGNORED, PASSED = "data uri", "seed", "ignored", "passed"
@@ -72,9 +75,7 @@ def java_valid(spark, pattern: str) -> bool:
 
 
 def _read_lines(patterns: DataFrame) -> list[Rule]:
-    rows = pattern_lines(patterns).select("set_name", "line_no", "pattern").limit(MAX_RULE_LINES + 1).collect()
-    if len(rows) > MAX_RULE_LINES:
-        raise ValueError(f"more than {MAX_RULE_LINES} rule lines; rules are configuration, not data")
+    rows = pattern_lines(patterns).select("set_name", "line_no", "pattern").collect()
     return sorted((Rule(*row) for row in rows), key=lambda r: (r.set_name, r.line_no))
 
 
@@ -114,8 +115,9 @@ def start_netlocs(seeds: DataFrame, compat_empty_seeds: bool = False) -> DataFra
 
 
 def _literal_rules(rules: list[Rule]) -> Column:
-    columns = ("set_name", "line_no", "pattern")
-    return F.array(*[F.struct(*[F.lit(getattr(r, c)).alias(c) for c in columns]) for r in rules])
+    """The rules as one value, however many."""
+    rows = json.dumps([{"set_name": r.set_name, "line_no": r.line_no, "pattern": r.pattern} for r in rules])
+    return F.from_json(F.lit(rows), "array<struct<set_name: string, line_no: int, pattern: string>>")
 
 
 def expand_patterns(patterns: DataFrame, netlocs: DataFrame) -> DataFrame:
@@ -161,10 +163,16 @@ def _test(index: int, pattern: str) -> _Test:
     return _Test(index, to_java(pattern), must_contain(pattern), must_hold_word(pattern))
 
 
+def _tried(tests: list[_Test]) -> Callable[[Column], Column]:
+    return lambda url: F.coalesce(*[t.on(url) for t in tests])
+
+
 def _chain(url: Column, tests: list[_Test]) -> Column:
     """First test that hits. Run inside a lambda, so the plan's generated code stays small
     enough to be compiled."""
-    return F.element_at(F.transform(F.array(url), lambda u: F.coalesce(*[t.on(u) for t in tests])), 1)
+    parts = [tests[k : k + CHAIN_RULES] for k in range(0, len(tests), CHAIN_RULES)]
+    found = [F.element_at(F.transform(F.array(url), _tried(part)), 1) for part in parts]
+    return found[0] if len(found) == 1 else F.coalesce(*found)
 
 
 def _first(url: Column, words: Column, tests: list[_Test]) -> Column:
@@ -292,7 +300,7 @@ def match_rules(
         marked = marked.withColumn("_filled", filled).withColumn("_rule", first).drop("floating")
         filled = F.col("_filled")
     if rules.rules:
-        texts = F.array(*[F.lit(r.pattern) for r in rules.rules])
+        texts = F.from_json(F.lit(json.dumps([r.pattern for r in rules.rules])), "array<string>")
         text = F.replace(
             F.element_at(texts, F.col("_rule") + 1), F.lit(PLACEHOLDER), urls.regex_escape(F.col("_authority"))
         )

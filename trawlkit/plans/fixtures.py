@@ -67,8 +67,8 @@ DERIVED = {
         concat('{{"type":"hello","mode":"', CASE WHEN job = 'job7' THEN 'dashboard' ELSE 'grabber' END, '","url":"http://', job, '/"}}') AS payload
         FROM (SELECT DISTINCT job FROM {fetches}) AS j UNION ALL
         SELECT concat('c', job) AS conn_id, seq, concat('{{"type":"', CASE WHEN page_id % 9 = 0 THEN 'other' ELSE 'download' END,
-          '","job_data":{{"ident":"', job, '"}},"url":"http://x/', CAST(page_id AS STRING), '","response_code":',
-          CAST(coalesce(status_code, 0) AS STRING), ',"response_message":"', coalesce(error, 'ok'), '"}}') AS payload
+          '","job_data":{{"ident":"', job, '","note":null,"extra":{{"z":[1,2,null],"a":"x"}}}},"url":"http://x/', CAST(page_id AS STRING), '","response_code":',
+          CAST(coalesce(status_code, 0) AS STRING), ',"response_message":', CASE WHEN page_id % 5 = 0 THEN 'null' ELSE concat('"', coalesce(error, 'ok'), '"') END, '}}') AS payload
         FROM {fetches}""",
     "sitemaps": """SELECT DISTINCT concat(regexp_extract(url, '^(https?://[^/]+)', 1), '/sitemap.xml') AS url,
         concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>', url, '</loc></url><url><loc>', url, 'x</loc></url></urlset>') AS body

@@ -248,7 +248,8 @@ _MSG = """SELECT conn_id, seq, json_extract_string(payload, '$.type') AS type, j
 _HELLO = f"SELECT conn_id, arg_min(mode, seq) AS conn_mode, min(seq) AS hello_seq FROM ({_MSG}) AS m WHERE type = 'hello' AND mode IN ('dashboard', 'grabber') GROUP BY conn_id"
 _AFTER = f"SELECT m.*, h.conn_mode FROM ({_MSG}) AS m JOIN ({_HELLO}) AS h ON m.conn_id = h.conn_id AND m.seq > h.hello_seq"
 _RELAYED = f"SELECT * FROM ({_AFTER}) AS a WHERE conn_mode = 'grabber' AND type = 'download'"
-_JSON = """concat('{{"type":"download","job_data":{{"ident":"', ident, '"}},"url":"', url, '","response_code":', CAST(response_code AS VARCHAR), ',"wget_code":"', response_message, '"}}')"""
+_JSON = """concat('{{"type":"download","job_data":{{"ident":"', ident, '","note":null,"extra":{{"z":[1,2,null],"a":"x"}}}},"url":"', url, '","response_code":', CAST(response_code AS VARCHAR),
+    ',"wget_code":', coalesce('"' || response_message || '"', 'null'), '}}')"""
 
 
 @query("src_telemetry", _MSG)

@@ -311,13 +311,15 @@ def fx_claimed_url(t):
 
 @query(
     "fx_strip_session",
-    "SELECT page_id, url AS cleaned FROM {pages} WHERE NOT contains(url, '#') UNION ALL SELECT page_id + 1000000000, url FROM {pages} WHERE NOT contains(url, '#')",
+    "SELECT page_id, url AS cleaned FROM {pages} UNION ALL SELECT page_id + 1000000000, url FROM {pages}",
 )
 def fx_strip_session(t):
     url = F.col("url")
-    with_id = F.when(url.contains("?"), F.concat(url, F.lit("&PHPSESSID=ab12"))).otherwise(F.concat(url, F.lit("?sid=1f&jsessionid=9")))
-    in_path = F.concat(F.substring_index(url, "?", 1), F.lit(";jsessionid=ABC"), url.substr(F.length(F.substring_index(url, "?", 1)) + 1, F.length(url)))
-    plain = t["pages"].where(~url.contains("#"))
+    head, mark = F.substring_index(url, "#", 1), F.regexp_extract(url, "(#.*)$", 1)
+    glue = F.when(head.contains("?"), F.lit("&PHPSESSID=ab12")).otherwise(F.lit("?sid=1f&jsessionid=9"))
+    with_id, path = F.concat(head, glue, mark), F.regexp_extract(url, "^[^?#]*", 0)
+    in_path = F.concat(path, F.lit(";jsessionid=ABC"), url.substr(F.length(path) + 1, F.length(url)))
+    plain = t["pages"]
     return plain.select("page_id", urls.strip_session(with_id).alias("cleaned")).unionByName(
         plain.select((F.col("page_id") + 1000000000).alias("page_id"), urls.strip_session(in_path).alias("cleaned"))
     )
