@@ -13,6 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +64,9 @@ def units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
+    for mixed in batches:
+        for dims in pa.compute.unique(mixed.column("dims")).to_pylist():
+            batch = mixed.filter(pa.compute.equal(mixed.column("dims"), dims))
             keys = table_keys(units(batch.column("vec")))
             slots = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), TABLES).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("label"), batch.column("dims"), slots], names=["rid", "label", "dims", "slots"])
