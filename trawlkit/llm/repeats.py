@@ -30,12 +30,12 @@ WINDOW, GRAM = 400, 40
 # Bytes per symbol of the transforms: a window is a whole number of them.
 SYMBOL = 50
 # Bytes of a text handled at once; a longer one is cut into overlapping parts.
-PART_BITS = 22
+PART_BITS = 20
 # Segments of a shard, and bytes of segments that one task merges.
-SHARD_SEGMENTS, TASK_BYTES = 256, 2 << 20
+SHARD_SEGMENTS, TASK_BYTES = 256, 1 << 19
 # Different segments under one anchor beyond which its strings are counted one by one instead, by
 # an aggregation that no key can overload.
-HOT_SEGMENTS = 2000
+HOT_SEGMENTS = 1000
 
 GRAMS = WINDOW - GRAM + 1
 
