@@ -78,7 +78,8 @@ def drop_spread_lines(
     lines = written_table(site_lines(docs, text, site).select(TEXT, SITE, LINE), "site-lines")
     spread = written_table(spread_lines(lines, min_sites, lg_registers), "spread-lines")
     # Which lines go depends on the text alone, so copies of a text share one list. The lists are
-    # written, so that the join has a plain shuffle on either side and AQE can split a hot text.
+    # written, so that the join has a plain shuffle on either side and AQE can split a hot text; it is
+    # a merge join at every size, because the lists grow with the corpus.
     gone = written_table(lines.join(spread, LINE).groupBy(TEXT).agg(F.collect_set(LINE).alias(GONE)), "gone-lines")
     body = F.col(f"`{text}`")
     parts = F.split(body, "\n")
@@ -88,7 +89,7 @@ def drop_spread_lines(
     kept = F.when(F.col(GONE).isNull() | bare, parts).otherwise(left)
     joined = (
         docs.withColumn(TEXT, F.xxhash64(body))
-        .join(gone, TEXT, "left")
+        .join(gone.hint("merge"), TEXT, "left")
         .withColumn(f"{MARK}parts", F.when(body.isNotNull(), kept))
         .withColumn(f"{MARK}all", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
     )
