@@ -191,11 +191,23 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     chances = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1, per_language / n) * 1_000_000))])
     sample = labelled.where(F.col("text").isNotNull() & (spot < F.element_at(chances, F.col("lang"))))
     sample = sample.withColumn(FOLD, F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)))
-    rows = sample.mapInArrow(_examples, EXAMPLE_SCHEMA).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["k"], r["lang"], r["ids"]))
-    if not rows:
+    held = sample.mapInArrow(_examples, EXAMPLE_SCHEMA).toArrow().combine_chunks()
+    if not held.num_rows:
         return None
-    return fit([(r["lang"], r["kept_back"], np.array(r["ids"]), np.array(r["counts"])) for r in rows])
+    # Views of the collected arrays: a list of Python numbers would take many times their memory.
+    ids, counts = (_lists(held.column(c)) for c in ("ids", "counts"))
+    plain = zip(*(held.column(c).to_pylist() for c in ("doc_id", "k", "lang", "kept_back")), strict=True)
+    rows = sorted(zip(plain, ids, counts, strict=True), key=lambda r: (*r[0][:3], r[1].tobytes()))
+    return fit([(lang, kept_back, own, times) for (_, _, lang, kept_back), own, times in rows])
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    made = []
+    for chunk in column.chunks:
+        values, edges = chunk.values.to_numpy(), chunk.offsets.to_pylist()
+        made += [values[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    return made
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", keep_text: bool = True) -> DataFrame:
