@@ -3,8 +3,9 @@
 Two texts link when their sets of word shingles are similar enough. Shingles have one global order,
 the frequent ones last; similar sets then share one of their first shingles (the prefix). Texts with
 one prefix and set size form a group, and groups are filtered as one. Links are found in two rounds:
-first every group is held against the hub of each list it stands in, then only pairs that are not
-connected yet are expanded and verified. So a group of copies costs rows in proportion to its size.
+first every group is held against the hub of each list it stands in, the group that shares most, then
+only pairs that are not connected yet are expanded and verified. So a group of copies, or of texts
+made from one by small changes, costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -189,39 +190,28 @@ ENTRY = ("shingle", "grp", "n", "pos")
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of entries sorted by shingle, size and group, those of lists with two groups or more.
 
-    Each comes with its list's hub, the first group. Holds one batch and one row besides.
+    Holds one batch and one row besides.
     """
     held = np.zeros((0, 4), np.int64)
-    hub = np.zeros((0, 4), np.int64)  # hub of the held row's list
+    later = False  # whether the held row is not its list's first
 
-    def put(rows: np.ndarray, hubs: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
-        columns = [*rows[wanted].T, *hubs[wanted][:, 1:].T]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[*ENTRY, "hub", "hub_n", "hub_pos"])
+    def put(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows.T], names=list(ENTRY))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ENTRY], axis=1)])
-        own_hub = len(held) > 0 and hub[0, 1] != held[0, 1]  # the held row is not its list's first
         fresh = np.ones(len(rows), bool)
         fresh[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
         rows = rows[fresh]
-        first = np.ones(len(rows), bool)
-        first[1:] = rows[1:, 0] != rows[:-1, 0]
-        begin = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
-        hubs = rows[begin]
-        if len(held):
-            hubs[begin == 0] = hub[0]
-        more = np.zeros(len(rows), bool)
-        more[:-1] = ~first[1:]
-        wanted = ~first | more
-        if len(held):
-            wanted[0] |= own_hub
-        wanted[-1] = False
-        held, hub = rows[-1:], hubs[-1:]
-        yield put(rows, hubs, wanted)
-    if len(held) and hub[0, 1] != held[0, 1]:
-        yield put(held, hub, np.ones(1, bool))
+        same = rows[1:, 0] == rows[:-1, 0]
+        wanted = np.concatenate([[later], same]) | np.concatenate([same, [False]])
+        later = bool(same[-1]) if len(same) else later
+        held = rows[-1:]
+        yield put(rows[:-1][wanted[:-1]])
+    if later:
+        yield put(held)
 
 
 def may_link(n_a, pos_a, n_b, pos_b, percent: int):
@@ -323,11 +313,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     entries = work.select("text").mapInArrow(_entries(shared, percent), "shingle long, grp long, n long, pos long")
     planned = described.agg(F.coalesce(F.sum("listed"), F.lit(0))).first()[0]
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(planned / PARTITION_ROWS))
-    kinds = "shingle long, grp long, n long, pos long, hub long, hub_n long, hub_pos long"
+    kinds = "shingle long, grp long, n long, pos long"
     lists = written_table(entries.repartition(width, "shingle").sortWithinPartitions("shingle", "n", "grp").mapInArrow(_shared, kinds), "lists")
 
     # First round: each group's head against the heads of its hubs, each unit against its group's head.
-    hubs = lists.where(F.col("grp") != F.col("hub")).where(_may_link_columns("n", "pos", "hub_n", "hub_pos", percent)).select("grp", "hub").distinct()
+    # The hub of a list is the group with the most partners over all its lists: where texts were made
+    # from one, that is the text they were made from, to which each of them is closest.
+    sizes = lists.groupBy("shingle").agg(F.count("*").alias("size"))
+    fame = lists.join(sizes, "shingle").groupBy("grp").agg(F.sum("size").alias("fame"))
+    hub = lists.join(fame, "grp").groupBy("shingle").agg(F.max(F.struct("fame", "grp", "n", "pos")).alias("hub"))
+    hub = hub.select("shingle", F.col("hub.grp").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+    hubs = lists.join(hub, "shingle").where(F.col("grp") != F.col("hub")).where(_may_link_columns("n", "pos", "hub_n", "hub_pos", percent)).select("grp", "hub").distinct()
     heads = groups.select(F.col("grp").alias("hub"), F.col("head").alias("b"))
     across = hubs.join(groups, "grp").join(heads, "hub").select(F.col("head").alias("a"), "b")
     within = units.join(groups, "grp").select(F.col("unit").alias("a"), F.col("head").alias("b"))
@@ -336,7 +332,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # Texts of the units that stand in a shared list or share a group; one row of each.
     busy = lists.select("grp").unionByName(units.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")).distinct()
     needed = written_table(units.join(busy, "grp").select("row", "unit"), "needed")
-    texts = written_table(work.select("row", "text").join(needed, "row").groupBy("unit").agg(F.first("text").alias("text")), "texts")
+    texts = written_table(work.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("unit", "text"), "texts")
     found = written_table(_verified(first, texts, percent), "links")
 
     # Second round: what is not connected yet.
