@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawlkit.llm import language, lines, packing, personal_data, pieces, repeats, shingle_join, topk, toxicity, vector_neighbours
+from trawlkit.llm import divergence, language, lines, packing, personal_data, pieces, quality, repeats, shingle_join, topk, toxicity, vector_codes, vector_neighbours
 from trawlkit.llm.common import table
+from trawlkit.session import written_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +146,92 @@ def op10_ngram_join(spark, folder):
 def op9_repeats(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs, keep_bytes=False)
+
+
+@query(f"""
+WITH words AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT doc_id) >= {divergence.LEAST_DOCUMENTS}
+), sizes AS (SELECT lang, count(*) AS v, CAST(sum(total) AS HUGEINT) AS n FROM kept GROUP BY lang
+), found AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), sums AS (
+  SELECT g.lang, g.source, CAST(coalesce(sum(f.n), 0) AS HUGEINT) AS n
+  FROM groups g LEFT JOIN found f ON g.lang = f.lang AND g.source = f.source GROUP BY g.lang, g.source
+), dense AS (
+  SELECT s.lang, s.source, k.term, coalesce(f.n, 0) AS n,
+    1 + CAST({divergence.UNIT} AS HUGEINT) * (coalesce(f.n, 0) + 1) // (s.n + z.v) AS p,
+    1 + CAST({divergence.UNIT} AS HUGEINT) * (k.total + 1) // (z.n + z.v) AS q
+  FROM sums s JOIN kept k ON s.lang = k.lang JOIN sizes z ON s.lang = z.lang
+  LEFT JOIN found f ON s.lang = f.lang AND s.source = f.source AND k.term = f.term
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), items AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON a.lang = f.lang AND a.source = f.source AND b.source = f.item
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM dense WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM items
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {divergence.TERM_RANKS}
+""")
+def op11_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def _vector_codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """Full scans in every round."""
+    steps = [f"""v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), cut AS MATERIALIZED (
+  SELECT vec_id, j, list_slice(c, j * (len(c) // {parts}) + 1, (j + 1) * (len(c) // {parts})) AS x
+  FROM v CROSS JOIN (SELECT unnest(range({parts})) AS j)
+), book0 AS MATERIALIZED (
+  SELECT j, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS k, x FROM cut
+  WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries})
+)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (
+  SELECT vec_id, j, any_value(x) AS x, min({{'d': d, 'k': k}}) AS best FROM (
+    SELECT c.vec_id, c.j, c.x, b.k, CAST(list_sum(list_transform(list_zip(c.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM cut c JOIN book{r} b ON c.j = b.j) GROUP BY vec_id, j
+)""")
+        if r < rounds:
+            steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT b.j, b.k, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN (
+    SELECT j, k, list(CAST(floor(s / n) AS BIGINT) ORDER BY place) AS x FROM (
+      SELECT j, best.k AS k, place, sum(x[place]) AS s, count(*) AS n
+      FROM (SELECT j, best, x, unnest(range(1, len(x) + 1)) AS place FROM near{r}) GROUP BY j, best.k, place)
+    GROUP BY j, k) m ON b.j = m.j AND b.k = m.k
+)""")
+    return f"""WITH {", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.k), '' ORDER BY j) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY j, k)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT v.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, d.codebooks_sha256, v.label
+FROM v JOIN coded c ON v.vec_id = c.vec_id CROSS JOIN digest d"""
+
+
+@query(_vector_codes_sql())
+def op12_vector_codes(spark, folder):
+    return vector_codes.compress(table(spark, folder, "embeddings"))[0]
+
+
+@query()
+def op13_quality(spark, folder):
+    described = written_table(quality.describe(table(spark, folder, "documents").select("doc_id", "text")), "statistics")
+    scored = quality.score(described, quality.train(described, table(spark, folder, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
