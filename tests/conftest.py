@@ -6,9 +6,9 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from trawlkit.session import build_session  # noqa: E402
+from oracle import DATA  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
+from trawlkit.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

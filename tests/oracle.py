@@ -7,6 +7,8 @@ import time
 
 import duckdb
 
+# The smallest tables.
+DATA = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

@@ -2,7 +2,7 @@
 
 import oracle
 import pytest
-from conftest import DATA
+from oracle import DATA
 
 import __spark_entry__ as entry
 from trawlkit.plans import catalog
