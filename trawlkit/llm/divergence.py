@@ -92,11 +92,17 @@ def _prefixes(distinct: pa.Array, size: int) -> pa.Array:
     return pc.binary_slice(distinct, 0, size)
 
 
+def _as_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents or rows of terms as rows of terms."""
+    for batch in batches:
+        yield from _document_terms(iter([batch])) if "text" in batch.schema.names else [batch]
+
+
 def _count_level(size: int):
     """Counts of complete terms by source, and distinct documents of open prefixes, per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _as_terms(batches):
             if not batch.num_rows:
                 continue
             distinct, code, times, owner = _flat(batch)
@@ -151,7 +157,7 @@ def _extended(terms: DataFrame, size: int, survivors: DataFrame, n: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bits = shared.value
-        for batch in batches:
+        for batch in _as_terms(batches):
             if not batch.num_rows:
                 continue
             distinct, code, times, owner = _flat(batch)
@@ -180,9 +186,10 @@ def term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, source, term, n, total): the terms each language keeps, counted by source and in all.
 
     docs has lang, source (not null) and text. Each row is a document. One level per doubling of
-    the prefixes; a level reads only the terms whose parents survived.
+    the prefixes. The first level reads the texts and writes no terms; every later one writes and
+    reads only the terms whose parents survived.
     """
-    terms = written_table(docs.select("lang", "source", "text").mapInArrow(_document_terms, TERMS), "terms")
+    terms = docs.select("lang", "source", "text")
     size, complete = FIRST_BYTES, []
     while True:
         summed = terms.mapInArrow(_count_level(size), COUNTED).groupBy("lang", "source", "key", "complete").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
