@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trawlkit.functions import headers as H
 from trawlkit.functions import values as V
+from trawlkit.operators import asof as A
 from trawlkit.operators import counters as C
 from trawlkit.operators import queue as Q
 from trawlkit.operators import responses as R
@@ -134,19 +135,90 @@ def events(spark):
     return spark.createDataFrame(rows, "job string, seq int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def in_force(job, name, ts):
-    held = [(t, v) for j, n, v, t in CONTROLS if j == job and n == name and t <= ts]
-    return max(held)[1] if held else None
+def read_plainly(name, text):
+    """What a setting makes of a text in plain Python; raises where it refuses."""
+    if S.SETTINGS[name].read is V.parse_flag:
+        return {"on": True, "off": False}[text.strip()]
+    if name == "concurrency":
+        return max(1, int(text))
+    if name.startswith("delay"):
+        parts = [int(x) for x in text.split("-", 1)] if "-" in text else [int(text)] * 2
+        return parts[name == "delay_max"]
+    return int(text)
 
 
-@pytest.mark.parametrize("short", [True, False])
-def test_settings_asof(spark, monkeypatch, short):
-    monkeypatch.setattr(S, "_is_short", lambda states: short)
-    got = S.settings_asof(events(spark), controls(spark), ["delay", "scrape"]).collect()
-    assert len(got) == events(spark).count()
-    for r in got:
-        ts = str(r.ts)
-        assert (r.delay, r.scrape) == (in_force(r.job, "delay", ts), in_force(r.job, "scrape", ts))
+def in_force(log, job, name, at):
+    """The last good value by time and log order."""
+    value = S.SETTINGS[name].default
+    for j, control, text, when, _ in sorted(log, key=lambda r: (r[3], r[4])):
+        if j == job and control == S.SETTINGS[name].control and when <= at:
+            try:
+                value = read_plainly(name, text)
+            except (ValueError, KeyError, AttributeError, TypeError):
+                pass
+    return value
+
+
+LOG = "job string, name string, value string, at long, seq long"
+TEXTS = ["9", "10", "soon", "", " 7 \n", "1_000", "-5", "+3", "3-8", "4-", "-", "on", "off", "maybe", "0", None, "99999999999999999999"]
+
+
+def random_log(rng, lines, spread):
+    controls = [*{x.control for x in S.SETTINGS.values()}, "stop", "other"]
+    return [(rng.choice(["hot", "hot", "hot", "b"]), rng.choice(controls), rng.choice(TEXTS), rng.randrange(lines) * spread, i) for i in range(lines)]
+
+
+def log_frame(spark, log):
+    return spark.createDataFrame(log, LOG).withColumn("effective_ts", F.timestamp_micros("at")).drop("at")
+
+
+@pytest.mark.parametrize("spread", [1, 1000, 10**9])
+def test_settings_asof_keep_the_last_good_value(spark, monkeypatch, spread):
+    monkeypatch.setattr(A, "CHANGES_IN_BUCKET", 4)
+    rng = random.Random(spread)
+    log = random_log(rng, 200, spread)
+    # Texts beyond a long are refused here, plain Python takes them.
+    log = [r for r in log if r[2] is None or len(r[2]) < 19]
+    rows = [(rng.choice(["hot", "b", "none", None]), i, rng.choice([rng.randrange(-20, 220) * spread, None])) for i in range(150)]
+    events = spark.createDataFrame(rows, "job string, seq long, at long").withColumn("ts", F.timestamp_micros("at")).withColumns({"scrape": F.lit("own"), "_from": F.lit(1)})
+    done = S.settings_asof(events, log_frame(spark, log), list(S.SETTINGS)).collect()
+    assert len(done) == len(rows)
+    for r in done:
+        for name in S.SETTINGS:
+            expected = S.SETTINGS[name].default if r.at is None or r.job is None else in_force(log, r.job, name, r.at)
+            assert getattr(r, name) == expected, (r, name)
+
+
+def test_settings_refuse_numbers_beyond_a_long(spark):
+    log = log_frame(spark, [("a", "max_content_length", "5", 0, 0), ("a", "max_content_length", "99999999999999999999", 1, 1)])
+    assert S.current_settings(log, ["max_content_length"]).first().max_content_length == 5
+
+
+def test_settings_of_an_empty_log(spark):
+    events = spark.createDataFrame([("a", 1, 5)], "job string, seq long, at long").withColumn("ts", F.timestamp_micros("at"))
+    row = S.settings_asof(events, log_frame(spark, []), list(S.SETTINGS)).first()
+    assert [getattr(row, n) for n in S.SETTINGS] == [s.default for s in S.SETTINGS.values()]
+    assert S.settings_asof(events.limit(0), log_frame(spark, [("a", "delay", "1", 0, 0)]), ["delay_min"]).count() == 0
+
+
+def test_current_settings(spark):
+    log = random_log(random.Random(8), 300, 10)
+    log = [r for r in log if r[2] is None or len(r[2]) < 19]
+    for r in S.current_settings(log_frame(spark, log), list(S.SETTINGS)).collect():
+        assert {n: getattr(r, n) for n in S.SETTINGS} == {n: in_force(log, r.job, n, 10**18) for n in S.SETTINGS}
+
+
+def test_a_log_without_order_is_ordered_by_text(spark):
+    log = log_frame(spark, [("a", "delay", "9", 0, 0), ("a", "delay", "10", 0, 1)])
+    assert S.current_settings(log, ["delay_min"]).first().delay_min == 10
+    assert S.current_settings(log.drop("seq"), ["delay_min"]).first().delay_min == 9
+
+
+def test_dense_logs_get_narrow_buckets(spark):
+    dense = spark.range(1000).select(F.lit("a").alias("job"), F.col("id").alias("_at"))
+    assert A.bucket_bits(dense, ["job"]) == 6
+    assert A.bucket_bits(dense.withColumn("_at", F.shiftleft("_at", 30)), ["job"]) == 36
+    assert A.bucket_bits(dense.limit(0), ["job"]) == 36
 
 
 def test_scrape_and_stop(spark):
@@ -164,11 +236,6 @@ def test_changed_controls(spark):
     assert [r.changed for r in done] == [True, False, True, False, True]
 
 
-def test_latest_controls(spark):
-    row = {r.job: r for r in S.latest_controls(controls(spark), ["delay", "scrape"]).collect()}
-    assert (row["a"].scrape, row["b"].delay, row["b"].scrape) == ("on", "7", None)
-
-
 def test_queue_layouts(spark):
     strings = spark.createDataFrame([(1, "u1"), (2, "u2"), (3, "u3")], "id int, url string")
     new = spark.createDataFrame([(2, "todo"), (1, "done"), (3, "todo")], "url_string_id int, status string")

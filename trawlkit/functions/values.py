@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def whole_number(text: Column) -> Column:
-    """Integer value of a text, null when it is not one."""
-    return F.trim(text).try_cast("bigint")
+    """Integer value of a text, null when it is not one. Single underscores may part its digits."""
+    return F.regexp_replace(F.trim(text), r"(?<=[0-9])_(?=[0-9])", "").try_cast("bigint")
 
 
 def parse_delay(text: Column) -> Column:
@@ -25,6 +25,12 @@ def parse_concurrency(text: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(value, F.lit(1)))
 
 
+def parse_flag(text: Column) -> Column:
+    """`on` for a control that is present, `off` for one taken away; anything else is refused."""
+    trimmed = F.btrim(text, F.lit(" \t\r\n"))
+    return F.when(trimmed == "on", True).when(trimmed == "off", False)
+
+
 def parse_igsets(text: Column) -> Column:
     """Set names of a comma list; items are not trimmed, an empty list has none."""
     trimmed = F.btrim(text, F.lit("\r\n\t ,"))

@@ -1,81 +1,81 @@
-"""Settings that change while a crawl runs: a change log controls(job, name, value, effective_ts).
+"""Settings that change while a crawl runs: a change log controls(job, name, value, effective_ts, seq).
 
-Events take the values in force at their time. A short log is broadcast as intervals; a long
-one is resolved for the distinct event times in bounded time spans and joined back by equality.
+A text that its setting refuses leaves the last good value in force. Of several changes at one
+instant the last good one by log order (`seq`) counts; a log without that column is ordered by the
+text. A setting that was never set has its default.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawlkit.functions import values as V
+from trawlkit.functions.pinned import with_pinned
+from trawlkit.operators.asof import as_of, micros
 from trawlkit.operators.running import running
-from trawlkit.session import broadcast_if_small, lookup_side
+from trawlkit.session import broadcast_if_small, lookup_side, written_table
 
-BROADCAST_CHANGES = 50_000
-BROADCAST_CHANGES_PER_JOB = 200
 
+@dataclass(frozen=True)
+class Setting:
+    control: str  # its name in the log
+    read: Callable[[Column], Column]  # null for texts it refuses
+    default: int | bool | None
 
-def last_at_instant(controls: DataFrame) -> DataFrame:
-    """One value per (job, name, instant): of several changes the last in `value` order."""
-    return controls.groupBy("job", "name", "effective_ts").agg(F.max("value").alias("value"))
 
+# Names, controls and defaults of the settings in job data.
+SETTINGS = {
+    "max_content_length": Setting("max_content_length", V.whole_number, -1),
+    "suppress_ignore_reports": Setting("igoff", V.parse_flag, True),
+    "video": Setting("video", V.parse_flag, True),
+    "scrape": Setting("scrape", V.parse_flag, True),
+    "concurrency": Setting("concurrency", V.parse_concurrency, 2),
+    "delay_min": Setting("delay", lambda text: V.parse_delay(text).getField("delay_min"), 0),
+    "delay_max": Setting("delay", lambda text: V.parse_delay(text).getField("delay_max"), 0),
+}
 
-def _micros(ts: str):
-    return F.unix_micros(F.col(ts).cast("timestamp"))
 
+def _log_order(controls: DataFrame, order: str) -> Column:
+    return F.col(order) if order in controls.columns else F.col("value")
+
+
+def _read(controls: DataFrame, names: list[str]) -> DataFrame:
+    """The log with a typed column per setting, null where a line does not set it or is refused."""
+    return with_pinned(controls, **{f"_v_{n}": F.when(F.col("name") == SETTINGS[n].control, SETTINGS[n].read(F.col("value"))) for n in names})
+
+
+def typed_changes(controls: DataFrame, names: list[str], order: str = "seq") -> DataFrame:
+    """(job, _at, one column per setting): the good values set at each instant, in microseconds."""
+    last = _log_order(controls, order)
+    good = [F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(last.alias("order"), F.col(f"_v_{n}").alias("value")))).getField("value").alias(n) for n in names]
+    at = micros(F.col("effective_ts")).alias("_at")
+    some = reduce(or_, [F.col(f"_v_{n}").isNotNull() for n in names])
+    return _read(controls, names).where(F.col("effective_ts").isNotNull() & some).groupBy("job", at).agg(*good)
 
-def _states(controls: DataFrame, names: list[str]) -> DataFrame:
-    """One row per (job, instant) with the values set at that instant."""
-    wanted = last_at_instant(controls.where(F.col("name").isin(names)))
-    return (
-        wanted.withColumn("_at", _micros("effective_ts"))
-        .groupBy("job", "_at")
-        .agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
-    )
 
+def _or_default(names: list[str]) -> dict[str, Column]:
+    return {n: F.coalesce(F.col(n), F.lit(SETTINGS[n].default)) for n in names}
 
-def _is_short(states: DataFrame) -> bool:
-    sizes = states.groupBy("job").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
-    return (sizes.n or 0) <= BROADCAST_CHANGES and (sizes.most or 0) <= BROADCAST_CHANGES_PER_JOB
-
-
-def _intervals(states: DataFrame, names: list[str]) -> DataFrame:
-    """States filled forward, with the instant each stops holding. For short logs."""
-    line = W.partitionBy("job").orderBy("_at")
-    so_far = line.rowsBetween(W.unboundedPreceding, 0)
-    filled = [F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names]
-    return states.select("job", "_at", F.lead("_at").over(line).alias("_until"), *filled)
-
-
-def _filled_at(states: DataFrame, instants: DataFrame, names: list[str]) -> DataFrame:
-    """Values in force at each (job, _at) of `instants`. For logs of any length."""
-    marked = states.unionByName(instants, allowMissingColumns=True).groupBy("job", "_at")
-    merged = marked.agg(*[F.max(n).alias(n) for n in names])
-    held = {
-        f"_held_{n}": ("max", F.when(F.col(n).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(n).alias("value"))))
-        for n in names
-    }
-    line = running(merged, ["job"], "_at", held)
-    return line.select("job", "_at", *[F.col(f"_held_{n}.value").alias(n) for n in names])
-
-
-def settings_asof(events: DataFrame, controls: DataFrame, names: list[str], ts: str = "ts") -> DataFrame:
-    """Add one column per control name with the value in force at the event, null before any."""
-    states = _states(controls, names)
-    timed = events.withColumn("_ets", _micros(ts))
-    if _is_short(states):
-        spans = F.broadcast(_intervals(states, names).withColumnRenamed("job", "_job"))
-        inside = (
-            (F.col("job") == F.col("_job"))
-            & (F.col("_ets") >= F.col("_at"))
-            & (F.col("_until").isNull() | (F.col("_ets") < F.col("_until")))
-        )
-        return timed.join(spans, inside, "left").drop("_job", "_at", "_until", "_ets")
-    instants = timed.select("job", F.col("_ets").alias("_at")).distinct()
-    values = _filled_at(states, instants, names).withColumnRenamed("_at", "_ets")
-    return timed.join(lookup_side(values), ["job", "_ets"], "left").drop("_ets")
+
+def settings_asof(events: DataFrame, controls: DataFrame, names: list[str], ts: str = "ts", order: str = "seq") -> DataFrame:
+    """Add one typed column per setting with the value in force at the event."""
+    # The log is read and parsed once, whatever is asked of it then.
+    changes = written_table(typed_changes(controls, names, order), "changes")
+    found = as_of(events, changes, ["job"], names, micros(F.col(ts)))
+    return found.withColumns(_or_default(names))
+
+
+def current_settings(controls: DataFrame, names: list[str], order: str = "seq") -> DataFrame:
+    """(job, one column per setting): what holds at the end of the log, a row per job in it."""
+    when = F.struct("effective_ts", _log_order(controls, order).alias("order"))
+    last = [F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), when)).alias(n) for n in names]
+    return _read(controls, names).groupBy("job").agg(*last).withColumns(_or_default(names))
 
 
 def changed_controls(controls: DataFrame, version: str = "value", order: str = "effective_ts") -> DataFrame:
@@ -83,23 +83,13 @@ def changed_controls(controls: DataFrame, version: str = "value", order: str = "
 
     `order` is a timestamp or whole number, unique per (job, name).
     """
-    numbered = controls.withColumn("_at", F.col(order) if order != "effective_ts" else _micros(order))
+    numbered = controls.withColumn("_at", F.col(order) if order != "effective_ts" else micros(F.col(order)))
     seen = {"_seen": ("max", F.struct(F.col("_at").alias("at"), F.col(version).alias("version")))}
     line = running(numbered, ["job", "name"], "_at", seen, inclusive=False)
     changed = F.col("_seen").isNull() | ~F.col("_seen.version").eqNullSafe(F.col(version))
     return line.withColumn("changed", changed).drop("_seen", "_at")
 
 
-def latest_controls(controls: DataFrame, names: list[str]) -> DataFrame:
-    """Current value of each control, one row per job."""
-    return controls.groupBy("job").agg(
-        *[
-            F.max_by("value", F.when(F.col("name") == n, F.struct("effective_ts", "value"))).alias(n)
-            for n in names
-        ]
-    )
-
-
 def scrape_gate(events: DataFrame, controls: DataFrame, ts: str = "ts") -> DataFrame:
     """Add `scrape_off`: once link extraction was switched off it stays off."""
     off = (

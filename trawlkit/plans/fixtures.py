@@ -58,11 +58,27 @@ DERIVED = {
     "source_seeds": """SELECT 'crawl' AS job, u.url FROM {doc_urls} AS u JOIN
         (SELECT source, min(doc_id) AS doc_id FROM {doc_urls} GROUP BY source) AS f ON u.doc_id = f.doc_id""",
     "root_seed": "SELECT 'crawl' AS job, url FROM {doc_urls} WHERE doc_id = (SELECT min(doc_id) FROM {doc_urls})",
-    "controls": f"""SELECT job, CASE WHEN k < 40 THEN 'max_content_length' WHEN k < 80 THEN 'delay' WHEN k < 98 THEN 'scrape' ELSE 'stop' END AS name,
-        CASE WHEN k < 40 THEN CAST(k * 1000 AS STRING) WHEN k < 60 THEN CAST(k AS STRING) WHEN k < 80 THEN concat(CAST(k AS STRING), '-', CAST(k * 2 AS STRING))
-          WHEN k < 98 AND k % 2 = 0 THEN 'off' ELSE 'on' END AS value, effective_ts, seq
-        FROM (SELECT event_id AS seq, concat('job', CAST(user_id % 8 AS STRING)) AS job, {_K} AS k, CAST(ts AS TIMESTAMP) AS effective_ts
-              FROM {{events}} WHERE event_type = 'signup') AS e""",
+    # Every event is a line of the log; some texts are refused, and hours make lines of one instant.
+    "controls": f"""SELECT job, CASE event_type WHEN 'view' THEN 'max_content_length' WHEN 'click' THEN 'delay' WHEN 'purchase' THEN 'concurrency'
+          WHEN 'error' THEN CASE WHEN k % 2 = 0 THEN 'igoff' ELSE 'video' END ELSE CASE WHEN k >= 98 THEN 'stop' ELSE 'scrape' END END AS name,
+        CASE WHEN event_type = 'view' THEN CASE WHEN k % 7 = 0 THEN 'soon' WHEN k % 7 = 1 THEN concat(' ', CAST(k * 1000 AS STRING), ' ') ELSE CAST(k * 1000 AS STRING) END
+          WHEN event_type = 'click' THEN CASE k % 7 WHEN 0 THEN '-' WHEN 1 THEN concat(CAST(k AS STRING), '-x') WHEN 2 THEN concat(CAST(k AS STRING), '-', CAST(k * 2 AS STRING)) ELSE CAST(k AS STRING) END
+          WHEN event_type = 'purchase' THEN CASE WHEN k % 7 = 0 THEN '' ELSE CAST(k - 50 AS STRING) END
+          WHEN event_type = 'error' THEN CASE k % 3 WHEN 0 THEN 'on' WHEN 1 THEN 'off' ELSE 'maybe' END
+          WHEN k >= 98 THEN 'on' WHEN k % 11 = 0 THEN 'bad' WHEN k < 20 AND k % 2 = 0 THEN 'off' ELSE 'on' END AS value,
+        date_trunc('hour', effective_ts) AS effective_ts, seq
+        FROM (SELECT event_id AS seq, event_type, concat('job', CAST(user_id % 8 AS STRING)) AS job, {_K} AS k, CAST(ts AS TIMESTAMP) AS effective_ts
+              FROM {{events}}) AS e""",
+    "crawls": """SELECT job, concat('id-', job) AS ident, concat('http://', job, '.example/') AS url, CAST(1704067200 AS DOUBLE) AS started_at
+        FROM (SELECT DISTINCT job FROM {fetches}) AS j""",
+    "result_urls": "SELECT f.*, p.url FROM {fetches} AS f JOIN {pages} AS p ON f.page_id = p.page_id",
+    "refusals": """SELECT e.event_id * 2 + 1 AS seq, e.ts, concat('job', CAST(e.user_id % 8 AS STRING)) AS job, p.url, concat('^', substr(p.url, 1, 12)) AS pattern,
+        CASE WHEN e.event_id % 3 = 0 THEN 'response' ELSE 'url' END AS stage
+        FROM (SELECT *, event_id % (SELECT count(*) FROM {pages}) AS page_id FROM {events}) AS e JOIN {pages} AS p ON e.page_id = p.page_id
+        WHERE e.event_type IN ('view', 'error')""",
+    "candidate_times": "SELECT c.*, e.ts FROM {candidates} AS c JOIN {events} AS e ON c.seq = e.event_id",
+    "candidate_controls": f"""SELECT c.job, 'igoff' AS name, CASE e.k % 3 WHEN 0 THEN 'on' WHEN 1 THEN 'off' ELSE '?' END AS value, CAST(e.ts AS TIMESTAMP) AS effective_ts, e.seq
+        FROM {{candidates}} AS c JOIN (SELECT event_id AS seq, ts, {_K} AS k, event_id % (SELECT count(*) FROM {{pages}}) AS page_id FROM {{events}}) AS e ON c.seq = e.page_id""",
     "telemetry": """SELECT concat('c', job) AS conn_id, CAST(-1 AS BIGINT) AS seq,
         concat('{{"type":"hello","mode":"', CASE WHEN job = 'job7' THEN 'dashboard' ELSE 'grabber' END, '","url":"http://', job, '/"}}') AS payload
         FROM (SELECT DISTINCT job FROM {fetches}) AS j UNION ALL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions import headers as H
 from trawlkit.functions import values as V
 from trawlkit.operators import counters as C
+from trawlkit.operators import messages as M
 from trawlkit.operators import responses as R
 from trawlkit.operators import settings as S
 from trawlkit.operators import telemetry as T
@@ -157,19 +158,39 @@ def win_running_job(t):
     return C.running_counters(t["fetches"], ["job"]).select("job", "seq", "bytes_downloaded", *C.CLASSES)
 
 
-# Settings over time.
+# Settings over time. A good value of each, as DuckDB reads it; null where the text is refused.
 
-NAMES = ["max_content_length", "delay", "scrape"]
+_WHOLE = "TRY_CAST(trim({}) AS BIGINT)"
+_LOW, _HIGH = (_WHOLE.format(f"CASE WHEN contains(value, '-') THEN split_part(value, '-', {i}) ELSE value END") for i in (1, 2))
+_FLAG = "CASE value WHEN 'on' THEN true WHEN 'off' THEN false END"
+_GOOD = {
+    "max_content_length": _WHOLE.format("value"),
+    "suppress_ignore_reports": _FLAG,
+    "video": _FLAG,
+    "scrape": _FLAG,
+    "concurrency": f"CASE WHEN {_WHOLE.format('value')} IS NOT NULL THEN greatest(1, {_WHOLE.format('value')}) END",
+    "delay_min": f"CASE WHEN {_HIGH} IS NOT NULL THEN {_LOW} END",
+    "delay_max": f"CASE WHEN {_LOW} IS NOT NULL THEN {_HIGH} END",
+}
+NAMES = list(S.SETTINGS)
 
 
-def _asof_sql(events: str) -> str:
+def _default(name: str) -> str:
+    return str(S.SETTINGS[name].default).lower()
+
+
+def _good_lines(name: str, controls: str = "{controls}") -> str:
+    return f"SELECT job, effective_ts, seq, {_GOOD[name]} AS value FROM {controls} WHERE name = '{S.SETTINGS[name].control}' AND {_GOOD[name]} IS NOT NULL"
+
+
+def _asof_sql(events: str, names: list[str] = NAMES, columns: str = "e.job, e.seq", controls: str = "{controls}") -> str:
     joins = " ".join(
-        f"ASOF LEFT JOIN (SELECT job, effective_ts, max(value) AS value FROM {{controls}} WHERE name = '{n}' GROUP BY job, effective_ts) AS c{i} "
+        f"ASOF LEFT JOIN (SELECT job, effective_ts, arg_max(value, seq) AS value FROM ({_good_lines(n, controls)}) GROUP BY job, effective_ts) AS c{i} "
         f"ON e.job = c{i}.job AND e.ts >= c{i}.effective_ts"
-        for i, n in enumerate(NAMES)
+        for i, n in enumerate(names)
     )
-    values = ", ".join(f"c{i}.value AS {n}" for i, n in enumerate(NAMES))
-    return f"SELECT e.job, e.seq, {values} FROM {events} AS e {joins}"
+    values = ", ".join(f"coalesce(c{i}.value, {_default(n)}) AS {n}" for i, n in enumerate(names))
+    return f"SELECT {columns}, {values} FROM {events} AS e {joins}"
 
 
 @query("join_control_asof", _asof_sql("{fetches}"))
@@ -177,16 +198,18 @@ def join_control_asof(t):
     return S.settings_asof(t["fetches"].select("job", "seq", "ts"), t["controls"], NAMES).select("job", "seq", *NAMES)
 
 
-@query("src_controls", "SELECT job, " + ", ".join(f"arg_max(value, seq) FILTER (WHERE name = '{n}') AS {n}" for n in [*NAMES, "stop"]) + " FROM {controls} GROUP BY job")
-def src_controls(t):
-    return S.latest_controls(t["controls"], [*NAMES, "stop"])
+def _current_sql() -> str:
+    last = " ".join(f"LEFT JOIN (SELECT job, arg_max(value, {{{{'t': effective_ts, 's': seq}}}}) AS value FROM ({_good_lines(n)}) GROUP BY job) AS c{i} ON j.job = c{i}.job" for i, n in enumerate(NAMES))
+    values = ", ".join(f"coalesce(c{i}.value, {_default(n)}) AS {n}" for i, n in enumerate(NAMES))
+    return f"SELECT j.job, {values} FROM (SELECT DISTINCT job FROM {{controls}}) AS j {last}"
 
 
-_PARSED = """SELECT job, seq, CAST(split_part(value, '-', 1) AS BIGINT) AS delay_min,
-    CAST(CASE WHEN contains(value, '-') THEN split_part(value, '-', 2) ELSE value END AS BIGINT) AS delay_max FROM {controls} WHERE name = 'delay'"""
+@query("src_controls", _current_sql())
+def src_controls(t):
+    return S.current_settings(t["controls"], NAMES)
 
 
-@query("fx_parse_delay", _PARSED)
+@query("fx_parse_delay", f"SELECT job, seq, {_GOOD['delay_min']} AS delay_min, {_GOOD['delay_max']} AS delay_max FROM {{controls}} WHERE name = 'delay'")
 def fx_parse_delay(t):
     delays = t["controls"].where(F.col("name") == "delay")
     return delays.select("job", "seq", V.parse_delay(F.col("value")).alias("d")).select("job", "seq", "d.*")
@@ -289,3 +312,38 @@ def join_broadcast_fanout(t):
     decoded = T.decode_messages(t["telemetry"])
     dashboards = T.first_hellos(decoded).where(F.col("conn_mode") == "dashboard")
     return T.fan_out(T.relay(decoded), dashboards).select("conn_id", "seq", "subscriber")
+
+
+# Messages of a crawl's own results and refusals.
+
+
+def _messages_sql() -> str:
+    """Every event in one order; settings are read by results and, some of them, by screening."""
+    counters = [*C.CLASSES]
+    kinds = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in counters)
+    nothing = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in counters)
+    own = ", ".join([f"CASE WHEN error IS NULL AND status_code BETWEEN {n}00 AND {n}99 THEN 1 ELSE 0 END AS r{n}xx" for n in range(1, 6)])
+    own += ", CASE WHEN error IS NOT NULL OR status_code IS NULL OR status_code NOT BETWEEN 100 AND 599 THEN 1 ELSE 0 END AS runk"
+    results = f"""SELECT job, seq * 2 AS seq, ts, 'download' AS type, url, CASE WHEN error IS NULL THEN coalesce(status_code, 0) ELSE 0 END AS response_code,
+        coalesce(error, '') AS response_message, CAST(NULL AS VARCHAR) AS pattern, body_size AS b, 0 AS q, 0 AS d, {kinds}, 'result' AS reads FROM (SELECT *, {own} FROM {{result_urls}}) AS r"""
+    queue = f"""SELECT job, seq * 2, NULL, NULL, NULL, NULL, NULL, NULL, 0, CASE WHEN event = 'queued' THEN 1 ELSE 0 END, CASE WHEN event = 'dequeued' THEN 1 ELSE 0 END, {nothing}, 'none' FROM {{queue_events}}"""
+    refused = f"SELECT job, seq, ts, 'ignore', url, NULL, NULL, pattern, 0, 0, 0, {nothing}, stage FROM {{refusals}}"
+    merged = f"SELECT *, seq * 3 + CASE WHEN type IS NULL THEN 0 WHEN type = 'download' THEN 1 ELSE 2 END AS place FROM ({results} UNION ALL {queue} UNION ALL {refused}) AS u"
+    asof = _asof_sql(f"(SELECT * FROM ({merged}) AS m WHERE type IS NOT NULL)", columns="e.job, e.place, e.type")
+    line = " OVER (PARTITION BY job ORDER BY place)"
+    sums = ", ".join(f"CAST(sum({c}){line} AS BIGINT) AS {name}" for c, name in [("b", "bytes_downloaded"), ("q", "items_queued"), ("d", "items_downloaded"), *[(c, f"n_{c}") for c in counters]])
+    held = ", ".join(f"coalesce(last_value(CASE WHEN {'reads IN (' + chr(39) + 'result' + chr(39) + ', ' + chr(39) + 'response' + chr(39) + ')' if n in M.READ_BY_SCREENING else 'reads = ' + chr(39) + 'result' + chr(39)} THEN {n} END IGNORE NULLS){line}, {_default(n)}) AS s_{n}" for n in NAMES)
+    rows = f"SELECT m.*, {', '.join('a.' + n for n in NAMES)} FROM ({merged}) AS m LEFT JOIN ({asof}) AS a ON m.job = a.job AND m.place = a.place AND m.type = a.type"
+    fields = ", ".join([*[f"s_{n} AS {n}" for n in NAMES], "bytes_downloaded", "items_queued", "items_downloaded", *[f"n_{c} AS {c}" for c in counters]])
+    return f"""SELECT s.job, s.seq, s.type, s.url AS message_url, s.response_code, s.response_message, s.pattern, c.ident, c.url AS start_url, c.started_at, {fields}
+        FROM (SELECT *, {sums}, {held} FROM ({rows}) AS x) AS s JOIN {{crawls}} AS c ON s.job = c.job WHERE s.type = 'download' OR (s.type = 'ignore' AND NOT s_suppress_ignore_reports)"""
+
+
+@query("make_messages", _messages_sql())
+def make_messages(t):
+    """What a reader of the messages finds in them; results of the fixture stand at even seqs, refusals at odd ones."""
+    results, queue = (t[n].withColumn("seq", F.col("seq") * 2) for n in ("result_urls", "queue_events"))
+    made = M.make_messages(results, queue, t["refusals"], t["controls"], t["crawls"])
+    read = T.decode_messages(made.select("job", "seq", "payload"))
+    data = [F.col(f"job_data.{c}").alias({"url": "start_url"}.get(c, c)) for c in M.JOB_FIELDS]
+    return read.select("job", "seq", "type", F.col("url").alias("message_url"), "response_code", "response_message", "pattern", *data)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions import urls, values
 from trawlkit.operators import queue as Q
 from trawlkit.operators import url_rules as U
+from trawlkit.operators.settings import settings_asof
 from trawlkit.plans.crawl_round import crawl_round
 from trawlkit.plans.registry import add, query
 from trawlkit.session import scratch_path
@@ -208,13 +209,16 @@ def agg_distinct_netlocs(t):
     return U.start_netlocs(t["seeds"])
 
 
-@query(
-    "pred_ignore_report",
-    f"SELECT v.job, v.seq, v.pattern FROM ({_verdict_sql()}) AS v WHERE v.reason = 'ignored' AND NOT contains(v.url, '#')",
-)
+_SUPPRESSED = f"""SELECT e.job, e.seq, coalesce(c.value, true) AS suppressed FROM {{candidate_times}} AS e
+    ASOF LEFT JOIN (SELECT job, effective_ts, arg_max(value = 'on', seq) AS value FROM {{candidate_controls}} WHERE value IN ('on', 'off') GROUP BY job, effective_ts) AS c
+    ON e.job = c.job AND e.ts >= c.effective_ts"""
+
+
+@query("pred_ignore_report", f"SELECT v.job, v.seq, v.pattern FROM ({_verdict_sql()}) AS v JOIN ({_SUPPRESSED}) AS s ON v.job = s.job AND v.seq = s.seq WHERE v.reason = 'ignored' AND NOT s.suppressed")
 def pred_ignore_report(t):
-    verdicts = _verdicts(t).withColumn("suppressed", F.col("url").contains("#"))
-    return U.ignore_reports(verdicts).select("job", "seq", "pattern")
+    timed = settings_asof(t["candidate_times"], t["candidate_controls"], ["suppress_ignore_reports"])
+    verdicts = U.verdict_url(timed, t["seeds"], U.load_rules(t["patterns"]))
+    return U.ignore_reports(verdicts, "suppress_ignore_reports").select("job", "seq", "pattern")
 
 
 @query(
