@@ -321,3 +321,23 @@ def test_index_key(spark):
 def test_checkpoint_folder_of_the_session_is_used(spark):
     assert session.checkpoint_dir(spark)
     assert session.small_enough(spark.range(5), 5) and not session.small_enough(spark.range(6), 5)
+
+
+def test_strip_session_of_very_long_urls(spark):
+    table = spark.createDataFrame([("http://h/?" + "sid=1&" * 200_000 + "x=1",), ("http://h/?sid=" + "a" * 1_000_000 + "#f",), ("http://h/?" + "sid=&" * 200_000,)], "url string")
+    assert [r[0] for r in table.select(urls.strip_session(F.col("url"))).collect()] == ["http://h/?x=1", "http://h/#f", "http://h/"]
+
+
+def test_relay_leaves_values_as_they_were(spark):
+    data = r'{"z":1.10, "a":[1e3, -0.0, 12345678901234567890123456789012345678901234.5], "q":"say \"1.50\" \\ \u00e9", "n":{"b":null,"b":2.0}, "t":true}'
+    payload = '{"type":"download","job_data":' + data + r',"url":"http:\/\/x\/1.10","url":"http:\/\/y?\"2.50\"","response_code":1E2,"response_message":{"x":007e0}}'
+    odd = r'{"type":"stdout","job_data":[],"message":"{\"not\":1.0}"}'
+    rows = [("c", 0, '{"type":"\\u0068ello","mode":"grabber"}'), ("c", 1, payload.replace("007e0", "7e0")), ("c", 2, odd), ("c", 3, '{"type":"stderr","job_data":null,"message":1.00}'), ("c", 4, '{"type":"stderr","job_data":null'), ("c", 5, None)]
+    done = T.relay(T.decode_messages(spark.createDataFrame(rows, "conn_id string, seq bigint, payload string"))).orderBy("seq").collect()
+    assert [r.seq for r in done] == [1, 2, 3]
+    assert done[0].relayed == (
+        '{"type":"download","job_data":{"z":1.10,"a":[1e3,-0.0,12345678901234567890123456789012345678901234.5],"q":"say \\"1.50\\" \\\\ é","n":{"b":null,"b":2.0},"t":true},'
+        '"url":"http://y?\\"2.50\\"","response_code":1E2,"wget_code":{"x":7e0}}'
+    )
+    assert done[1].relayed == r'{"type":"stdout","job_data":[],"message":"{\"not\":1.0}"}'
+    assert done[2].relayed == '{"type":"stderr","job_data":null,"message":1.00}'

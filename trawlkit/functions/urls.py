@@ -127,7 +127,8 @@ def strip_session(url: Column) -> Column:
     """Drop session-id parameters from path and query."""
     names = "|".join(SESSION_PARAMS)
     bare = F.regexp_replace(url, rf"(?i);(?:{names})=[^/?#;&]*", "")
-    head = F.regexp_replace(bare, rf"(?i)\?(?:(?:{names})=[^&#]*(?:&|(?=#|$)))+", "?")
+    # Possessive: the matcher loops over the parameters and does not recurse.
+    head = F.regexp_replace(bare, rf"(?i)\?(?:(?:{names})=[^&#]*+(?:&|(?=#|$)))++", "?")
     tail = F.regexp_replace(head, rf"(?i)&(?:{names})=[^&#]*", "")
     return F.regexp_replace(tail, r"\?(?=#|$)", "")
 

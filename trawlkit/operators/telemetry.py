@@ -7,7 +7,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trawlkit.functions.pinned import with_pinned
 from trawlkit.session import broadcast_if_small, lookup_side
 
 # Subscribers that one row of the fan-out holds as an array.
@@ -49,7 +51,9 @@ def decode_messages(messages: DataFrame) -> DataFrame:
 
 def first_hellos(decoded: DataFrame) -> DataFrame:
     """(conn_id, conn_mode, hello_seq): the first hello with a known mode decides."""
-    hello = (F.col("type") == "hello") & F.col("mode").isin(MODES)
+    # A test of the text keeps all but hellos from being parsed for this; any letter may be escaped.
+    likely = F.col("payload").cast("string").rlike(r"hello|\\u") if "payload" in decoded.columns else F.lit(True)
+    hello = likely & (F.col("type") == "hello") & F.col("mode").isin(MODES)
     first = F.min(F.struct("seq", "mode")).alias("first")
     return (
         decoded.where(hello)
@@ -69,33 +73,52 @@ def known_types(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("type").isin(RELAYED))
 
 
-def _as_sent(name: str) -> Column:
-    """A field's JSON text as it came, null and of any type; SQL null only where it is missing."""
-    text = F.col("payload").cast("string")
-    value = F.to_json(F.variant_get(F.try_parse_json(text), f"$.{name}", "variant"))
-    # A variant sorts the keys of objects, the text keeps them in their order.
-    return F.when(value.rlike(r"^[\[{]"), F.get_json_object(text, f"$.{name}")).otherwise(value)
+# Marks put before the content of strings and around numbers, so that a parser leaves them as they are.
+_STRING, _NUMBER = "\x01s", "\x01n"
+_LITERAL = r'"(?:[^"\\]++|\\.)*+"'
+_RAW_FIELDS = sorted({name for names in _REQUIRED.values() for name in names})
+_RAW = T.StructType([T.StructField(f"{_STRING}{name}", T.StringType()) for name in _RAW_FIELDS])
 
 
-def relay_json() -> Column:
-    """The message as dashboards get it; the response text goes by another name.
+def _marked(text: Column) -> Column:
+    """The JSON text with every string marked, keys too, and every number a marked string."""
+    between, literals = F.split(text, _LITERAL, -1), F.regexp_extract_all(text, F.lit(_LITERAL), F.lit(0))
+    numbers = F.transform(between, lambda b: F.regexp_replace(b, r"-?[0-9][0-9.eE+\-]*+", r'"\\u0001n$0"'))
+    strings = F.transform(literals, lambda s: F.concat(F.lit(r'"\u0001s'), F.substring(s, F.lit(2), F.length(s))))
+    return F.array_join(F.zip_with(numbers, strings, lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
+
+
+def _as_sent(value: Column) -> Column:
+    """JSON text of a field parsed from a marked text."""
+    content = F.substring(value, F.lit(3), F.length(value))
+    listed = F.to_json(F.array(content))
+    nested = F.regexp_replace(F.regexp_replace(value, r'"\\u0001n([^"]*+)"', "$1"), r'"\\u0001s', '"')
+    kinds = F.when(value.startswith(_STRING), F.substring(listed, F.lit(2), F.length(listed) - 2)).when(value.startswith(_NUMBER), content)
+    return F.coalesce(kinds.when(value.rlike(r"^[\[{]"), nested).otherwise(value), F.lit("null"))
 
-    Values pass through unchanged: job data with all its fields, nulls, values of other types.
-    """
+
+def relay_json(raw: str = "_raw") -> Column:
+    """The message as dashboards get it; the response text goes by another name."""
 
     def message(kind: str) -> Column:
         parts = [F.lit(f'{{"type":"{kind}"')]
         for name in _REQUIRED[kind]:
-            parts += [F.lit(f',"{RENAMED.get(name, name)}":'), _as_sent(name)]
+            parts += [F.lit(f',"{RENAMED.get(name, name)}":'), _as_sent(F.col(raw).getField(f"{_STRING}{name}"))]
         return F.concat(*parts, F.lit("}"))
 
     return F.coalesce(*[F.when(F.col("type") == kind, message(kind)) for kind in RELAYED])
 
 
 def relay(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
-    """(conn_id, seq, type, relayed) of complete messages sent by grabbers after their hello."""
+    """(conn_id, seq, type, relayed) of complete messages sent by grabbers after their hello.
+
+    Values pass through unchanged: numbers with all their digits, job data with all its fields in
+    their order, nulls, values of other types. Of a key given twice at the top the last one counts.
+    """
     sent = known_types(after_hello(decoded, hellos)).where((F.col("conn_mode") == "grabber") & F.col("complete"))
-    return sent.select("conn_id", "seq", "type", relay_json().alias("relayed"))
+    # Parsed once per message, whatever its kind.
+    read = with_pinned(sent.select("conn_id", "seq", "type", "payload"), _raw=F.from_json(_marked(F.col("payload").cast("string")), _RAW))
+    return read.select("conn_id", "seq", "type", relay_json().alias("relayed"))
 
 
 def fan_out(messages: DataFrame, subscribers: DataFrame) -> DataFrame:

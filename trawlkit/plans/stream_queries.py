@@ -66,15 +66,23 @@ _PAGE_DIGESTS = page_queries._normal_sql("(SELECT page_id AS seq, url, html AS b
 _MARKED = page_queries._marked_sql(f"SELECT seq, url, md5(normal) AS digest FROM ({_PAGE_DIGESTS}) AS n")
 
 
-def _stream_dupes(t):
+def _stream_dupes(t, scope=None):
     path, offsets = _paths(t, "dupes")
-    _finish(flows.stream_dupes(_page_stream(t), scratch_path(t.spark, "digests"), path, offsets))
-    return t.spark.read.parquet(path).select("seq", "url", "digest", "dupe_of")
+    pages = _page_stream(t).withColumn("job", F.regexp_extract("url", "^https?://[^/]+/([a-z]+)", 1)) if scope else _page_stream(t)
+    _finish(flows.stream_dupes(pages, scratch_path(t.spark, "digests"), path, offsets, scope))
+    return t.spark.read.parquet(path).select(*([scope] if scope else []), "seq", "url", "digest", "dupe_of")
 
 
-@query("st_dupes", _MARKED)
+@query(
+    "st_dupes",
+    f"""SELECT regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS job, seq, url, digest,
+          CASE WHEN digest IS NOT NULL AND row_number() OVER w > 1 THEN first_value(url) OVER w END AS dupe_of
+        FROM (SELECT seq, url, md5(normal) AS digest FROM ({_PAGE_DIGESTS}) AS n) AS d
+        WINDOW w AS (PARTITION BY regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1), digest ORDER BY seq, url)""",
+)
 def st_dupes(t):
-    return _stream_dupes(t)
+    """Pages are compared within their crawl."""
+    return _stream_dupes(t, "job")
 
 
 @query("dupe_stream", _MARKED.replace("SELECT d.seq, d.url,", "SELECT d.seq,", 1))

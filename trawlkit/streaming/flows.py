@@ -14,10 +14,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from trawlkit.operators import counters, dupes, telemetry
+from trawlkit.operators.digest_index import DigestIndex
 from trawlkit.operators.responses import verdict_response
 from trawlkit.operators.url_rules import load_rules, verdict_url
+from trawlkit.session import written_table
 
 BATCH = "batch_id"
+# Batches of the digest index between two compactions.
+COMPACT_EVERY = 50
 
 
 def table_stream(spark: SparkSession, folder: str, schema: str | T.StructType, glob: str = "*.parquet", **options) -> DataFrame:
@@ -82,18 +86,30 @@ def stream_verdicts(
     return run(candidates, each, checkpoint, once=once)
 
 
-def stream_dupes(pages: DataFrame, store: str, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Duplicate marks (seq, url, digest, dupe_of); `store` keeps the first URL of each digest."""
-    known_schema = "digest string, first_url string, first_seq bigint"
+def stream_dupes(
+    pages: DataFrame, store: str, path: str, checkpoint: str, scope: str | None = None, compact_every: int = COMPACT_EVERY, once: bool = True
+) -> StreamingQuery:
+    """Duplicate marks ([scope], seq, url, digest, _scope, dupe_of) of pages; `store` is a digest index.
+
+    With a scope, such as the crawl, pages are compared only within it (a null one is the empty
+    text); without one all are. A
+    batch reads only the partitions of the index that may hold its digests. Batches before the one
+    at hand are committed and are merged every now and then.
+    """
+    index = DigestIndex(store)
+    scopes = [scope] if scope else []
 
     def each(batch_df: DataFrame, batch: int) -> None:
         spark = batch_df.sparkSession
-        known = _written_before(spark, store, known_schema, batch)
-        marked = dupes.detect_dupes(batch_df, known=known)
-        marked.write.mode("overwrite").parquet(_batch_folder(path, batch))
+        if batch and batch % compact_every == 0:
+            index.compact(spark, batch - 1)
+        own = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
+        digests = written_table(dupes.page_digests(batch_df).select(*scopes, "seq", "url", "digest", own.alias("_scope")), "digests")
+        known = index.known(digests.select(F.col("_scope").alias("scope"), "digest"), batch).withColumnRenamed("scope", "_scope")
+        # Kept with its scope, so that what enters the index is read from what was given out.
+        dupes.mark_dupes(digests, known, ["_scope"]).write.mode("overwrite").parquet(_batch_folder(path, batch))
         fresh = spark.read.parquet(_batch_folder(path, batch)).where(F.col("dupe_of").isNull())
-        firsts = dupes.first_seen(fresh).drop("times")
-        firsts.write.mode("overwrite").parquet(_batch_folder(store, batch))
+        index.add(dupes.first_seen(fresh, ["_scope"]).withColumnRenamed("_scope", "scope"), batch)
 
     return run(pages, each, checkpoint, once=once)
 
