@@ -73,37 +73,36 @@ def known_types(decoded: DataFrame) -> DataFrame:
     return decoded.where(F.col("type").isin(RELAYED))
 
 
-# Marks put before the content of strings and around numbers, so that a parser leaves them as they are.
-_STRING, _NUMBER = "\x01s", "\x01n"
-_LITERAL = r'"(?:[^"\\]++|\\.)*+"'
+# Marks put before the content of strings and numbers, so that a parser leaves them as they are.
+_STRING, _NUMBER = "\x01n\x01s", "\x01n"
+_CONTENT = r'(?:[^"\\]++|\\.)*+'
 _RAW_FIELDS = sorted({name for names in _REQUIRED.values() for name in names})
 _RAW = T.StructType([T.StructField(f"{_STRING}{name}", T.StringType()) for name in _RAW_FIELDS])
 
 
 def _marked(text: Column) -> Column:
     """The JSON text with every string marked, keys too, and every number a marked string."""
-    between, literals = F.split(text, _LITERAL, -1), F.regexp_extract_all(text, F.lit(_LITERAL), F.lit(0))
-    numbers = F.transform(between, lambda b: F.regexp_replace(b, r"-?[0-9][0-9.eE+\-]*+", r'"\\u0001n$0"'))
-    strings = F.transform(literals, lambda s: F.concat(F.lit(r'"\u0001s'), F.substring(s, F.lit(2), F.length(s))))
-    return F.array_join(F.zip_with(numbers, strings, lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
+    strings = F.regexp_replace(text, f'"({_CONTENT})"', r'"\\u0001s$1"')
+    # Strings are stepped over as one piece, so numbers in them stay as they are.
+    return F.regexp_replace(strings, rf'"({_CONTENT})"|(-?[0-9][0-9.eE+\-]*+)', r'"\\u0001n$1$2"')
 
 
 def _as_sent(value: Column) -> Column:
     """JSON text of a field parsed from a marked text."""
-    content = F.substring(value, F.lit(3), F.length(value))
-    listed = F.to_json(F.array(content))
-    nested = F.regexp_replace(F.regexp_replace(value, r'"\\u0001n([^"]*+)"', "$1"), r'"\\u0001s', '"')
-    kinds = F.when(value.startswith(_STRING), F.substring(listed, F.lit(2), F.length(listed) - 2)).when(value.startswith(_NUMBER), content)
-    return F.coalesce(kinds.when(value.rlike(r"^[\[{]"), nested).otherwise(value), F.lit("null"))
+    listed = F.to_json(F.array(F.substring(value, F.lit(5), F.length(value))))
+    string = F.substring(listed, F.lit(2), F.length(listed) - 2)
+    nested = F.regexp_replace(F.regexp_replace(value, r'"\\u0001n\\u0001s', '"'), r'"\\u0001n([^"]*+)"', "$1")
+    kinds = F.when(value.startswith(_STRING), string).when(value.startswith(_NUMBER), F.substring(value, F.lit(3), F.length(value)))
+    return F.coalesce(kinds.when(value.startswith("{") | value.startswith("["), nested).otherwise(value), F.lit("null"))
 
 
-def relay_json(raw: str = "_raw") -> Column:
-    """The message as dashboards get it; the response text goes by another name."""
+def relay_json() -> Column:
+    """The message as dashboards get it, of fields as JSON text; the response text goes by another name."""
 
     def message(kind: str) -> Column:
         parts = [F.lit(f'{{"type":"{kind}"')]
         for name in _REQUIRED[kind]:
-            parts += [F.lit(f',"{RENAMED.get(name, name)}":'), _as_sent(F.col(raw).getField(f"{_STRING}{name}"))]
+            parts += [F.lit(f',"{RENAMED.get(name, name)}":'), F.col(f"_sent_{name}")]
         return F.concat(*parts, F.lit("}"))
 
     return F.coalesce(*[F.when(F.col("type") == kind, message(kind)) for kind in RELAYED])
@@ -118,6 +117,7 @@ def relay(decoded: DataFrame, hellos: DataFrame | None = None) -> DataFrame:
     sent = known_types(after_hello(decoded, hellos)).where((F.col("conn_mode") == "grabber") & F.col("complete"))
     # Parsed once per message, whatever its kind.
     read = with_pinned(sent.select("conn_id", "seq", "type", "payload"), _raw=F.from_json(_marked(F.col("payload").cast("string")), _RAW))
+    read = with_pinned(read, **{f"_sent_{name}": _as_sent(F.col("_raw").getField(f"{_STRING}{name}")) for name in _RAW_FIELDS})
     return read.select("conn_id", "seq", "type", relay_json().alias("relayed"))
 
 
