@@ -27,7 +27,9 @@ def test_top_k_against_all_scores(spark, monkeypatch):
     rows = [(i, [float(rng.choice([rng.gauss(0, 1), 0.5, -0.5])) for _ in range(6)], 0) for i in range(700)]
     rows += [(20, rows[20][1], 0), (900, rows[3][1], 0)]
     table = spark.createDataFrame(rows + ODD, VECTORS)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(topk, "TASK_ROWS", 150)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "BATCH_QUERIES", 3)
     monkeypatch.setattr(topk, "GROUP_QUERIES", 2)
     monkeypatch.setattr(topk, "FIRST_READ", 8)
     got = sorted(tuple(r) for r in topk.top_k(table, F.col("vec_id") % 100 == 0).where("query_id < 1000").collect())
