@@ -90,6 +90,39 @@ def like(pattern: str) -> Callable[[Column], Column]:
     return lambda text: text.rlike(pattern)
 
 
+# Countries of account numbers by the number of characters, spaces not counted.
+ACCOUNT_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FO FI GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+
+
+def account_pattern() -> str:
+    """Account numbers of the length their country has, so that what follows one is never part of it.
+
+    Of other countries, as many characters as can be had.
+    """
+    known = [rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{size - 4}}}" for size, names in ACCOUNT_LENGTHS.items()]
+    others = rf"(?!{'|'.join(' '.join(ACCOUNT_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, others])})(?![A-Za-z0-9])"
+
+
 # Possessive runs keep the matcher from recursing or going back over long texts; they end where the
 # greedy ones do, as what follows a run is never part of it. A find of email can only begin where a
 # run of its characters begins, or right after the find before.
@@ -99,7 +132,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", parts_below_256, 0.5, r"\bip\b|address|host|server|login", like(r"[0-9]\.[0-9]")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", card_number, 0.9, "card|visa|master|credit|payment", like(r"[0-9](?:[\x20-]?[0-9]){13}")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", digit_count(10, 15), 0.8, "phone|tel|call|mobile|fax|whatsapp", has("+")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank", like(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"), False),
+    Kind("iban", account_pattern(), mod97, 0.8, "iban|account|bank", like(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"), False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", social_number, 0.4, r"\bssn\b|social security|tax", like("[0-9]-[0-9]{2}-[0-9]"), False),
     Kind("local_phone", r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", digit_count(10, 10), 0.4, "phone|tel|call|mobile|fax|whatsapp", like(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"), False),
 )
