@@ -9,7 +9,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from trawlkit.llm import language, lines, packing, personal_data, pieces, queries, repeats, shingle_join, toxicity
+from trawlkit.llm import common, language, lines, packing, personal_data, pieces, queries, repeats, shingle_join, toxicity
 
 ODD = [None, "", " ", "\n\n", "x", "a" * 100_000, "9" * 60_000, "1.2.3.4 " * 3000, "the same text", "the same text", "𝄞 ünï ▁x  y", "▁▁", "tab\tand\rreturn\x0b\x00"]
 
@@ -297,3 +297,34 @@ def test_packing_of_odd_rows(documents):
     got = Counter(r.doc_id for r in packing.pack(odd_rows(documents)).collect())
     assert got[0] == got[1] == got[2] == 0 and got[3] == 2 and got[None] == 1
     assert packing.pack(documents([(1, None)])).count() == 0 and packing.pack(documents([(1, "x")]).limit(0)).count() == 0
+
+
+def test_account_numbers_whatever_follows(spark, documents):
+    account = "DE89 3704 0044 0532 0130 00"
+    other = "GB82 WEST 1234 5698 7654 32"
+    after = [" BIC COBADEFF", " 7 days", "\nNEXT", " X", ".", "", f" {other}", f" {account}", " BIC X DE"]
+    rows = [f"IBAN {account}{a}" for a in after] + [f"IBAN {account.replace(' ', '')}{a}" for a in after]
+    got = personal_data.find_personal_data(documents(list(enumerate(rows)))).select("doc_id", personal_data.joined_spans("personal_spans").alias("s"))
+    for r in got.collect():
+        size = 27 if r.doc_id < len(after) else 22
+        spans = [f"iban:5:{5 + size}"]
+        if r.doc_id % len(after) in (6, 7):
+            spans.append(f"iban:{6 + size}:{6 + size + 27}")
+        assert r.s == ",".join(spans), rows[r.doc_id]
+    redacted = personal_data.redact(documents(list(enumerate(rows)))).collect()
+    assert all("3704" not in r.text and "WEST" not in r.text for r in redacted)
+    # A wrong check, a number cut off and one with a letter right behind are no accounts.
+    wrong = ["IBAN DE88 3704 0044 0532 0130 00 BIC X", "IBAN DE89 3704 0044 0532 0130", f"IBAN {account}Q"]
+    assert {r.s for r in personal_data.find_personal_data(documents(list(enumerate(wrong)))).select(personal_data.joined_spans("personal_spans").alias("s")).collect()} == {""}
+
+
+@pytest.mark.parametrize("n", [10**k for k in range(3, 13)])
+def test_classes_of_any_size_keep_their_chance(n):
+    share = (common.chance_bound(n, 1000) + 1) / 2**63
+    assert share == pytest.approx(min(1, 1000 / n), rel=1e-9)
+
+
+def test_grades_out_of_range_are_no_grades(spark, documents):
+    docs = documents([(i, f"word{i % 3} bad" if i % 2 else "word good") for i in range(40)])
+    grades = spark.createDataFrame([(i, [0, 2, 9, -1][i % 4]) for i in range(40)], "doc_id long, grade int")
+    assert toxicity.train(docs, grades, n_grades=3) is not None

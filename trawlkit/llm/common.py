@@ -36,3 +36,16 @@ def text_key(column: Column) -> Column:
 
 def rebuilt(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def sampled(id: Column, classes: Column, sizes: dict, wanted: int) -> Column:
+    """About `wanted` rows of each class, by a hash of the id: all of a class that has no more.
+
+    63 bits of hash against a 63-bit bound, so that a class of any size keeps its chance.
+    """
+    bounds = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, chance_bound(n, wanted))])
+    return F.shiftrightunsigned(F.xxhash64(id), 1) <= F.element_at(bounds, classes)
+
+
+def chance_bound(n: int, wanted: int) -> int:
+    return min((1 << 63) - 1, (wanted << 63) // max(n, 1) - 1)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawlkit.llm.batches import portions
-from trawlkit.llm.common import MARK, lookup
+from trawlkit.llm.common import MARK, lookup, sampled
 
 UNKNOWN = "und"
 BUCKET_BITS = 16
@@ -187,9 +187,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     sizes = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*")).collect()}
     if not sizes:
         return None
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chances = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1, per_language / n) * 1_000_000))])
-    sample = labelled.where(F.col("text").isNotNull() & (spot < F.element_at(chances, F.col("lang"))))
+    sample = labelled.where(F.col("text").isNotNull() & sampled(F.col("doc_id"), F.col("lang"), sizes, per_language))
     sample = sample.withColumn(FOLD, F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)))
     held = sample.mapInArrow(_examples, EXAMPLE_SCHEMA).toArrow().combine_chunks()
     if not held.num_rows:

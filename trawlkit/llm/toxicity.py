@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawlkit.llm.batches import as_bytes, portions
-from trawlkit.llm.common import MARK, lookup
+from trawlkit.llm.common import MARK, lookup, sampled
 from trawlkit.llm.word_hashes import byte_table, word_hashes
 
 FEATURE_BITS = 20
@@ -115,14 +115,14 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, per_grade: int = SA
     """A model from about per_grade rows of each grade, chosen by a hash of the id.
 
     docs has doc_id and text, grades has doc_id and grade (0 to n_grades - 1). The sample is the
-    only data that reaches the driver. None if no row is graded.
+    only data that reaches the driver. Other grades are none; of several grades of one id the
+    highest counts. None if no row is graded.
     """
-    known = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
+    known = grades.where(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     sizes = {r[0]: r[1] for r in known.groupBy("grade").agg(F.count("*")).collect()}
     if not sizes:
         return None
-    chances = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, int(min(1, per_grade / n) * 1_000_000))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(chances, F.col("grade")))
+    chosen = known.where(sampled(F.col("doc_id"), F.col("grade"), sizes, per_grade))
     sample = docs.select(lookup(docs, "doc_id").cast("long").alias("doc_id"), F.col("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     rows = sample.select("doc_id", "grade", "text").mapInArrow(_sample_features, "doc_id long, grade int, ids array<int>").toArrow().to_pylist()
     rows = sorted(((r["doc_id"], r["grade"], r["ids"]) for r in rows), key=lambda r: (r[0], r[1], r[2]))
