@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import json
 import random
+import time
 from collections import Counter
 from urllib.parse import quote, quote_plus, unquote, urldefrag, urljoin, urlsplit
 
@@ -341,3 +342,13 @@ def test_relay_leaves_values_as_they_were(spark):
     )
     assert done[1].relayed == r'{"type":"stdout","job_data":[],"message":"{\"not\":1.0}"}'
     assert done[2].relayed == '{"type":"stderr","job_data":null,"message":1.00}'
+
+
+def test_open_tags_are_read_once(spark):
+    closed = '<a href="/x">'
+    bodies = [closed + "<a " * 1_000_000, closed + "<a href='" * 500_001, closed + '<a "' * 500_001, "<base " * 300_000 + closed, closed + "<img src='>" + closed, closed + "<a href=/y", closed + "<img alt='a > b' src=/z>"]
+    began = time.time()
+    found = links.extract_links(pages_table(spark, [b.encode() for b in bodies])).orderBy("seq", "ord").collect()
+    assert time.time() - began < 30
+    by_page = {k: [r.link for r in found if r.seq == k] for k in range(len(bodies))}
+    assert by_page == {0: ["/x"], 1: ["/x"], 2: ["/x"], 3: ["/x"], 4: ["/x"], 5: ["/x"], 6: ["/x", "/z"]}

@@ -9,10 +9,20 @@ from trawlkit.functions import urls
 from trawlkit.functions.markup import decode_entities
 from trawlkit.functions.pinned import with_pinned
 
-# Possessive runs: the matcher neither recurses nor goes back, however long a tag is.
-_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-_TAG = rf"(?is)(<(?:a|area|img|script|link|source|video|audio|iframe|embed)\b{_REST})"
-_BASE = rf"(?is)(<base\b{_REST})"
+# Possessive runs: the matcher neither recurses nor goes back, however long a tag is. A tag that
+# nothing closes, or whose quote nothing closes, is taken to the end of the text and is no tag, so
+# that no search starts again inside it: a text is read once, however many tags stay open.
+_INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_OPEN = rf"{_INSIDE}(?:[\"'].*+)?+\z"
+
+
+def _tag(names: str) -> str:
+    """Group 1 is the tag, empty for one left open."""
+    return rf"(?is)(<(?:{names})\b{_INSIDE}>)|<(?:{names})\b{_OPEN}"
+
+
+_TAG = _tag("a|area|img|script|link|source|video|audio|iframe|embed")
+_BASE = _tag("base")
 # A candidate of a srcset: a run without white space, whose commas at the end part it from the next;
 # else its descriptors go on to the next comma outside of parentheses.
 _CANDIDATE = r"[\s,]*+([^\s,](?:\S*[^\s,])?)(?:,++(?=\s|$)|(?=\s|$)(?:[^,(]++|\([^)]*+\)?+)*+)"
@@ -41,7 +51,7 @@ def extract_links(pages: DataFrame, page: str = "seq", body: str = "body", scope
     href = _plain(_attr(F.regexp_extract(text, _BASE, 1), "href"))
     base = F.when(text.rlike("(?i)<base\\b") & (href != ""), urls.resolve_url(F.col("url"), href)).otherwise(F.col("url"))
     based = with_pinned(pages.drop("base").withColumn("_text", text), base=base)
-    tags = based.select(*keys, F.posexplode(F.regexp_extract_all("_text", F.lit(_TAG), 1)).alias("_pos", "_tag"))
+    tags = based.select(*keys, F.posexplode(F.array_remove(F.regexp_extract_all("_text", F.lit(_TAG), 1), "")).alias("_pos", "_tag"))
     name = F.lower(F.regexp_extract("_tag", r"^<([A-Za-z]+)", 1))
     targets = F.flatten(
         F.array(
