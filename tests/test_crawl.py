@@ -182,8 +182,7 @@ def reach(seeds, edges, max_level, requisites, offsite, no_parent):
     "seed, max_level, requisites, offsite, no_parent, per_key",
     [(1, None, 5, True, True, 10**6), (2, 2, 1, True, True, 10**6), (3, None, 2, False, False, 7), (4, 0, 3, True, True, 7)],
 )
-def test_frontier_equals_walk(spark, monkeypatch, seed, max_level, requisites, offsite, no_parent, per_key):
-    monkeypatch.setattr(frontier, "ROUNDS_PER_MERGE", 3)
+def test_frontier_equals_walk(spark, seed, max_level, requisites, offsite, no_parent, per_key):
     rnd = random.Random(seed)
     nodes = [f"http://h{h}.ex/{d}/{i}" for h in range(3) for d in "ab" for i in range(9)]
     edges = {n: [(rnd.choice(nodes), rnd.random() < 0.3) for _ in range(30 if k == 0 else 2)] for k, n in enumerate(nodes)}

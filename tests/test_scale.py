@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trawlkit import session
-from trawlkit.operators import counters, dupes
+from trawlkit.operators import counters, dupes, frontier
 from trawlkit.operators import url_rules as U
 from trawlkit.operators.queue import dump_queue
 from trawlkit.plans.fixtures import Crawl
@@ -94,3 +94,63 @@ def test_filters_on_costly_columns_do_not_repeat_them(spark, data):
     assert plan.count("RLIKE (?d)/es/") + plan.count("RLIKE(") <= 1 or plan.count("(?d)/es/") == 1
     digests = dupes.page_digests(t["bodies_near"]).where("digest IS NOT NULL")
     assert digests._jdf.queryExecution().optimizedPlan().toString().count("NREUM.info") <= 4
+
+
+def shuffled_sources(plan):
+    """Per exchange of a plan, the folders of the scans it moves."""
+    name = lambda node: node.getClass().getSimpleName()
+    children = lambda node: [node.children().apply(i) for i in range(node.children().size())]
+    found = []
+
+    def walk(node, above):
+        if name(node) == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan(), above)
+        if name(node).endswith("QueryStageExec"):
+            return walk(node.plan(), above)
+        if name(node) == "ShuffleExchangeExec":
+            above = [*above, []]
+            found.append(above[-1])
+        if name(node) == "FileSourceScanExec":
+            for moved in above:
+                moved.append(node.relation().location().rootPaths().apply(0).toString())
+        for child in children(node):
+            walk(child, above)
+
+    walk(plan, [])
+    return found
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_frontier_moves_neither_links_nor_reached(large, parts):
+    keys = ["job", "src"] if parts == 1 else ["job", "src", "part"]
+    links = session.BucketedTable(large, "links", keys)
+    edges = [("j", f"u{i}", i % parts, f"u{(i * 7 + k) % 500}", False, True) for i in range(500) for k in range(3)]
+    edges = large.createDataFrame(edges, "job string, src string, part int, dst string, inline boolean, local boolean")
+    links.add(edges.select(*keys, "dst", "inline", "local"))
+    reached = session.BucketedTable(large, "reached", ["job", "url"])
+    schema = "job string, url string, reach struct<kind: int, level: int, depth: int>, root string"
+    for number in range(2):
+        rows = [("j", f"u{i}", (0, number, 0), "u0") for i in range(number * 100, number * 100 + 100)]
+        reached.add(large.createDataFrame(rows, schema), number)
+    sources = reached.rows(1).select("job", F.col("url").alias("src"), "reach", "root")
+    if parts > 1:
+        sources = sources.withColumn("part", F.explode(F.sequence(F.lit(0), F.length("root") - 1)))
+    newest = frontier._newest(sources, links.rows(), keys, reached.rows(), None, 5, True, False)
+    expected = {f"u{(i * 7 + k) % 500}" for i in range(100, 200) for k in range(3)} - {f"u{i}" for i in range(200)}
+    assert {r.url for r in newest.collect()} == expected
+    moves = shuffled_sources(newest._jdf.queryExecution().executedPlan())
+    # Targets found go to what was reached; the newest URLs go to the links only where those are split.
+    assert len(moves) == parts
+    assert max(len(m) for m in moves) == 2
+    for scans in moves:
+        assert len(scans) == 2 or reached.path.rsplit("/")[-1] in scans[0]
+
+
+def test_bucketed_table_leaves_no_name_behind(spark):
+    table = session.BucketedTable(spark, "names", ["k"], 2)
+    for number in range(3):
+        table.add(spark.range(number * 5, number * 5 + 5).select(F.col("id").alias("k")), number)
+    assert [r.k for r in table.rows(1).orderBy("k").collect()] == [5, 6, 7, 8, 9]
+    assert table.rows().count() == 15
+    assert sorted(r.k for r in table.close().collect()) == list(range(15))
+    assert not spark.catalog.tableExists(table.table)

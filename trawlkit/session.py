@@ -82,3 +82,36 @@ def lookup_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The same for a side that is costly to compute: written out before it is counted."""
     table = written_table(df, "lookup")
     return F.broadcast(table) if small_enough(table, rows) else table
+
+
+class BucketedTable:
+    """Rows bucketed by their keys in the shared checkpoint folder, added round by round.
+
+    Rows of one bucket lie in one task's files whatever round they came in, so a join or
+    aggregation on the keys moves none of them. A round is a partition of its own.
+    """
+
+    ROUND = "_round"
+
+    def __init__(self, spark: SparkSession, name: str, keys: list[str], buckets: int | None = None):
+        self.spark, self.keys = spark, keys
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = scratch_path(spark, name)
+        self.table = f"{name}_{self.path[-32:]}"
+        self.schema = None
+
+    def add(self, df: DataFrame, number: int = 0) -> None:
+        """Write the rows of a round, which may be derived from earlier rounds of this table."""
+        self.schema = self.schema or df.schema
+        writer = df.withColumn(self.ROUND, F.lit(number)).write.format("parquet").mode("append")
+        writer.partitionBy(self.ROUND).bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.table)
+
+    def rows(self, number: int | None = None) -> DataFrame:
+        """All rows, or those of one round."""
+        found = self.spark.table(self.table)
+        return (found if number is None else found.where(F.col(self.ROUND) == number)).drop(self.ROUND)
+
+    def close(self) -> DataFrame:
+        """Forget the name in the catalog; the rows, read from their folder, stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
