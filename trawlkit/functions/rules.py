@@ -1,6 +1,7 @@
 """What a URL rule (a regex) demands of a URL, found from its parse tree.
 
 The answers only gate the regex test, so they must never be too strict: unknown means None.
+`dialect.py` writes the same tree in Java's syntax.
 """
 
 from __future__ import annotations
@@ -26,13 +27,6 @@ WORD = "[A-Za-z0-9]+"
 _REPEATS = {sre.MAX_REPEAT, sre.MIN_REPEAT}
 
 
-def to_java(pattern: str) -> str:
-    """Same regex in Java's dialect; (?d) keeps \\n the only line end."""
-    text = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    text = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", text)
-    return "(?d)" + text.replace(r"\Z", r"\z")
-
-
 def _parse(pattern: str):
     try:
         tree = sre_parser.parse(pattern)
@@ -159,3 +153,24 @@ def python_valid(pattern: str) -> bool:
     except (re.error, OverflowError, RecursionError):
         return False
     return True
+
+
+def has_open_choice(pattern: str) -> bool:
+    """Does a valid pattern have an alternative outside all groups?"""
+    depth, i = 0, 0
+    while i < len(pattern):
+        char = pattern[i]
+        if char == "\\":
+            i += 1
+        elif char == "[":
+            # A closing bracket that comes first belongs to the class.
+            i += 2 if pattern[i + 1 : i + 2] == "^" else 1
+            i += 1 if pattern[i : i + 1] == "]" else 0
+            while i < len(pattern) and pattern[i] != "]":
+                i += 2 if pattern[i] == "\\" else 1
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "|" and depth == 0:
+            return True
+        i += 1
+    return False

@@ -17,16 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawlkit.functions import urls
+from trawlkit.functions.dialect import MARK, to_java
 from trawlkit.functions.pinned import with_pinned
 from trawlkit.functions.rules import (
     PLACEHOLDER,
     PREFIX_TEMPLATE,
     WORD,
     anchored_hosts,
+    has_open_choice,
     must_contain,
     must_hold_word,
     python_valid,
-    to_java,
 )
 from trawlkit.session import broadcast_if_small
 
@@ -49,7 +50,8 @@ class Rule:
 
     @property
     def prefix_templated(self) -> bool:
-        return self.pattern.startswith(PREFIX_TEMPLATE) and self.pattern.count(PLACEHOLDER) == 1
+        alone = self.pattern.startswith(PREFIX_TEMPLATE) and self.pattern.count(PLACEHOLDER) == 1
+        return alone and not has_open_choice(self.pattern)
 
 
 @dataclass(frozen=True)
@@ -191,7 +193,12 @@ def _generic_template(pattern: str) -> str:
 
 
 def _loose_template(pattern: str) -> str:
-    return pattern.replace(PLACEHOLDER, "[^/?#]*")
+    return pattern.replace(PLACEHOLDER, "(?:[^/?#]*)")
+
+
+def _without_netloc(pattern: str) -> str | None:
+    """What is left of a template where its placeholder takes no part in the match."""
+    return None if "(?!" in pattern or "(?<!" in pattern else pattern.replace(PLACEHOLDER, "(?!)")
 
 
 def _by_set(indexed: list[tuple[int, Rule]]) -> dict[str, list[tuple[int, Rule]]]:
@@ -237,42 +244,46 @@ def _floating_hits(candidates: DataFrame, netlocs: DataFrame, rules: RuleSet) ->
     """(job, url, rule) for templates whose netloc may stand anywhere in the URL.
 
     URLs that pass the loose form are cut into the pieces a start netloc of their job could
-    be (its lengths are few), and the pieces are joined to the netlocs by equality.
+    be (its lengths are few), and the pieces are joined to the netlocs by equality. A URL that
+    matches without the netloc (in another alternative) is given the job's least one.
     """
     floating = [(i, r) for i, r in enumerate(rules.rules) if r.templated and not r.prefix_templated]
     if not floating:
         return None
     url = F.col("url")
-    loose = F.array_compact(
-        F.array(*[F.when(url.rlike(to_java(_loose_template(r.pattern))), F.lit(i)) for i, r in floating])
-    )
+
+    def near_rule(i: int, rule: Rule) -> Column:
+        free = _without_netloc(rule.pattern)
+        free = F.lit(False) if free is None else url.rlike(to_java(free))
+        return F.when(url.rlike(to_java(_loose_template(rule.pattern))), F.struct(F.lit(i).alias("rule"), free.alias("free")))
+
     near = (
         candidates.select("job", "url")
-        .withColumn("rules", loose)
+        .withColumn("rules", F.array_compact(F.array(*[near_rule(i, r) for i, r in floating])))
         .where(F.size("rules") > 0)
         .distinct()
-        .select("job", "url", F.explode("rules").alias("rule"))
+        .select("job", "url", F.inline("rules"))
     )
     sizes = netlocs.groupBy("job").agg(F.collect_set(F.length("netloc")).alias("sizes"))
     pieces = (
-        near.join(broadcast_if_small(sizes), "job")
+        near.where(~F.col("free"))
+        .join(broadcast_if_small(sizes), "job")
         .select("job", "url", "rule", F.explode("sizes").alias("size"))
         .withColumn("start", F.explode(F.sequence(F.lit(1), F.greatest(F.length("url") - F.col("size") + 1, F.lit(1)))))
         .select("job", "url", "rule", url.substr(F.col("start"), F.col("size")).alias("netloc"))
         .where(~F.col("netloc").rlike("[/?#]"))
         .distinct()
     )
-    texts = F.array(*[F.lit(r.pattern) for r in rules.rules])
-    filled = F.replace(
-        F.element_at(texts, F.col("rule") + 1), F.lit(PLACEHOLDER), urls.regex_escape(F.col("netloc"))
-    )
-    return (
-        pieces.join(broadcast_if_small(netlocs), ["job", "netloc"])
-        .withColumn("filled", filled)
-        .where(F.expr("url RLIKE concat('(?d)', filled)"))
-        .groupBy("job", "url")
-        .agg(F.min(F.struct("rule", "filled")).alias("floating"))
-    )
+    shown = F.create_map(*[F.lit(x) for i, r in floating for x in (i, r.pattern)])
+    tried = F.create_map(*[F.lit(x) for i, r in floating for x in (i, to_java(r.pattern.replace(PLACEHOLDER, MARK)))])
+    escaped = urls.regex_escape(F.col("netloc"))
+    tried = F.replace(tried[F.col("rule")], F.lit(MARK), escaped)
+    bound = pieces.join(broadcast_if_small(netlocs), ["job", "netloc"]).withColumn("tried", tried).where(F.expr("url RLIKE tried"))
+    least = netlocs.groupBy("job").agg(F.min("netloc").alias("netloc"))
+    unbound = near.where("free").join(broadcast_if_small(least), "job")
+    hits = bound.select("job", "url", "rule", "netloc").unionByName(unbound.select("job", "url", "rule", "netloc"))
+    filled = F.replace(shown[F.col("rule")], F.lit(PLACEHOLDER), escaped).alias("filled")
+    return hits.groupBy("job", "url").agg(F.min(F.struct("rule", filled)).alias("floating"))
 
 
 def match_rules(

@@ -26,7 +26,8 @@ DERIVED = {
     "patterns": """SELECT * FROM (VALUES ('global', 1, '[?&]utm_source='), ('global', 2, '^https?://www[.]'),
         ('global', 3, '# a comment'), ('global', 4, ''),
         ('site', 1, '^https?://{{any_start_netloc}}/.+[?&]ref='), ('site', 2, '^https?://{{any_start_netloc}}/de/'),
-        ('site', 3, '[?&]utm_source='), ('user', 1, '/es/'), ('user', 2, '^https?://(m|blog)[.]ththan[.]example[.]net/'))
+        ('site', 3, '[?&]utm_source='), ('user', 1, '/es/'), ('user', 2, '^https?://(m|blog)[.]ththan[.]example[.]net/'),
+        ('user', 3, '[?&[]id=[[0-4]'), ('user', 4, '/{{id}}|1{{2}}/|[a&&b]/[#t]'))
         AS t(set_name, line_no, pattern)""",
     "pattern_lines": "SELECT 'notes' AS set_name, CAST(doc_id AS INT) AS line_no, concat(CASE WHEN lang = 'de' THEN '#' ELSE '' END, CASE WHEN n_chars < 40 THEN '' ELSE source END) AS pattern FROM {documents}",
     "fetches": """SELECT event_id AS seq, ts, concat('job', CAST(user_id % 8 AS STRING)) AS job,
