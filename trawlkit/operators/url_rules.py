@@ -81,18 +81,20 @@ def _read_lines(patterns: DataFrame) -> list[Rule]:
     return sorted((Rule(*row) for row in rows), key=lambda r: (r.set_name, r.line_no))
 
 
-def load_rules(patterns: DataFrame, sets: list[str] | None = None) -> RuleSet:
+def load_rules(patterns: DataFrame, sets: list[str] | None = None, per_set: bool = False) -> RuleSet:
     """Read the rule table (set_name, line_no, pattern) into a RuleSet.
 
-    A bad regex is set aside in `invalid` and the other rules stay in force.
+    A bad regex is set aside in `invalid` and the other rules stay in force. With `per_set` a
+    pattern is kept in each set that has it, for URLs on which only some sets are active.
     """
     spark = patterns.sparkSession
     chosen = patterns if sets is None else patterns.where(F.col("set_name").isin(list(sets)))
     good, bad, seen = [], [], set()
     for rule in _read_lines(chosen):
-        if rule.pattern in seen:
+        key = (rule.set_name if per_set else "", rule.pattern)
+        if key in seen:
             continue
-        seen.add(rule.pattern)
+        seen.add(key)
         probe = rule.pattern.replace(PLACEHOLDER, "x")
         (good if python_valid(probe) and java_valid(spark, probe) else bad).append(rule)
     return RuleSet(good, bad)
@@ -241,7 +243,8 @@ def first_rule(
 
 
 def _floating_hits(candidates: DataFrame, netlocs: DataFrame, rules: RuleSet) -> DataFrame | None:
-    """(job, url, rule) for templates whose netloc may stand anywhere in the URL.
+    """(job, url, floating) for templates whose netloc may stand anywhere in the URL: their hits
+    in order of the rules, one for each.
 
     URLs that pass the loose form are cut into the pieces a start netloc of their job could
     be (its lengths are few), and the pieces are joined to the netlocs by equality. A URL that
@@ -283,7 +286,8 @@ def _floating_hits(candidates: DataFrame, netlocs: DataFrame, rules: RuleSet) ->
     unbound = near.where("free").join(broadcast_if_small(least), "job")
     hits = bound.select("job", "url", "rule", "netloc").unionByName(unbound.select("job", "url", "rule", "netloc"))
     filled = F.replace(shown[F.col("rule")], F.lit(PLACEHOLDER), escaped).alias("filled")
-    return hits.groupBy("job", "url").agg(F.min(F.struct("rule", filled)).alias("floating"))
+    firsts = hits.select("job", "url", "rule", filled).groupBy("job", "url", "rule").agg(F.min("filled").alias("filled"))
+    return firsts.groupBy("job", "url").agg(F.sort_array(F.collect_list(F.struct("rule", "filled"))).alias("floating"))
 
 
 def match_rules(
@@ -306,6 +310,11 @@ def match_rules(
     filled = F.lit(None).cast("string")
     if floating is not None:
         marked = marked.join(floating, ["job", "url"], "left")
+        hits = F.col("floating")
+        if sets is not None:
+            set_of = F.from_json(F.lit(json.dumps([r.set_name for r in rules.rules])), "array<string>")
+            hits = F.filter(hits, lambda h: F.array_contains(sets, F.element_at(set_of, h["rule"] + 1)))
+        marked = marked.withColumn("floating", F.get(hits, F.lit(0)))
         first = F.least(F.col("_rule"), F.col("floating.rule"))
         filled = F.when(F.col("floating.rule") == first, F.col("floating.filled"))
         marked = marked.withColumn("_filled", filled).withColumn("_rule", first).drop("floating")

@@ -80,6 +80,12 @@ DERIVED = {
     "candidate_times": "SELECT c.*, e.ts FROM {candidates} AS c JOIN {events} AS e ON c.seq = e.event_id",
     "candidate_controls": f"""SELECT c.job, 'igoff' AS name, CASE e.k % 3 WHEN 0 THEN 'on' WHEN 1 THEN 'off' ELSE '?' END AS value, CAST(e.ts AS TIMESTAMP) AS effective_ts, e.seq
         FROM {{candidates}} AS c JOIN (SELECT event_id AS seq, ts, {_K} AS k, event_id % (SELECT count(*) FROM {{pages}}) AS page_id FROM {{events}}) AS e ON c.seq = e.page_id""",
+    "igset_log": """SELECT c.job, 'igsets' AS name, CASE c.seq % 4 WHEN 0 THEN 'global,site' WHEN 1 THEN 'site' WHEN 2 THEN ' ' ELSE 'user,global' END AS value,
+        CAST(date_trunc('hour', e.ts) AS TIMESTAMP) AS effective_ts, c.seq FROM {candidates} AS c JOIN {events} AS e ON c.seq = e.event_id WHERE c.seq % 3 = 0""",
+    "rule_versions": """SELECT set_name, line_no, pattern, CAST(NULL AS TIMESTAMP) AS effective_ts FROM {patterns} UNION ALL
+        SELECT v.set_name, v.line_no, v.pattern, m.effective_ts FROM (SELECT * FROM (VALUES ('site', 1, '^https?://{{any_start_netloc}}/en/'), ('site', 2, '/fr/[0-9]+[#?]'),
+          ('own:de', 1, '/de/[0-9]+$'), ('own:en', 1, '[.]html$'), ('unused', 1, '.')) AS t(set_name, line_no, pattern)) AS v
+        CROSS JOIN (SELECT max(effective_ts) AS effective_ts FROM {igset_log} WHERE seq <= (SELECT max(seq) / 2 FROM {igset_log})) AS m""",
     "telemetry": """SELECT concat('c', job) AS conn_id, CAST(-1 AS BIGINT) AS seq,
         concat('{{"type":"hello","mode":"', CASE WHEN job = 'job7' THEN 'dashboard' ELSE 'grabber' END, '","url":"http://', job, '/"}}') AS payload
         FROM (SELECT DISTINCT job FROM {fetches}) AS j UNION ALL

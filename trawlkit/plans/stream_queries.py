@@ -58,6 +58,18 @@ def st_ignores(t):
     return t.spark.read.parquet(path).select("job", "seq", "url", "reason", "accepted", "pattern")
 
 
+@query("st_rule_versions", url_queries._VERDICT_ASOF)
+def st_rule_versions(t):
+    path, offsets = _paths(t, "verdicts-asof")
+    job = F.regexp_extract("url", "^https?://[^/]+/([a-z]+)", 1)
+    candidates = _stream(t, "pages", _PAGES).select(
+        job.alias("job"), F.col("page_id").alias("seq"), "url", (~F.col("url").endswith("#top")).alias("verdict")
+    )
+    timed = candidates.join(t["events"].select(F.col("event_id").alias("seq"), "ts"), "seq")
+    _finish(flows.stream_verdicts_asof(timed, t["seeds"], lambda: t["rule_versions"], lambda: t["igset_log"], path, offsets))
+    return t.spark.read.parquet(path).select("job", "seq", "url", "reason", "accepted", "pattern")
+
+
 def _page_stream(t):
     return _stream(t, "pages", _PAGES).select(F.col("page_id").alias("seq"), "url", F.col("html").alias("body"))
 

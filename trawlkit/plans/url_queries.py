@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions import urls, values
 from trawlkit.operators import queue as Q
 from trawlkit.operators import url_rules as U
+from trawlkit.operators.rule_versions import verdict_asof as rules_asof
 from trawlkit.operators.settings import settings_asof
 from trawlkit.plans.crawl_round import crawl_round
 from trawlkit.plans.registry import add, query
@@ -38,12 +39,12 @@ def _blamed(where: str = "true") -> str:
       GROUP BY c.job, c.seq, c.url, c.verdict"""
 
 
-def _verdict_sql(where: str = "true") -> str:
+def _verdict_sql(where: str = "true", blamed: str | None = None) -> str:
     return f"""SELECT b.job, b.seq, b.url, CASE WHEN starts_with(b.url, 'data:') THEN 'data uri' WHEN s.url IS NOT NULL THEN 'seed'
         WHEN blamed IS NOT NULL THEN 'ignored' ELSE 'passed' END AS reason,
         CASE WHEN starts_with(b.url, 'data:') THEN false WHEN s.url IS NOT NULL THEN verdict WHEN blamed IS NOT NULL THEN false ELSE verdict END AS accepted,
         CASE WHEN s.url IS NULL AND NOT starts_with(b.url, 'data:') THEN blamed END AS pattern
-      FROM ({_blamed(where)}) AS b LEFT JOIN (SELECT DISTINCT job, url FROM {{seeds}}) AS s ON b.job = s.job AND b.url = s.url"""
+      FROM ({blamed or _blamed(where)}) AS b LEFT JOIN (SELECT DISTINCT job, url FROM {{seeds}}) AS s ON b.job = s.job AND b.url = s.url"""
 
 
 def _verdicts(t, rules=None):
@@ -221,6 +222,28 @@ def pred_ignore_report(t):
     return U.ignore_reports(verdicts, "suppress_ignore_reports").select("job", "seq", "pattern")
 
 
+_SETS_ASOF = """SELECT e.*, coalesce(c.sets, ['global']) AS sets FROM {candidate_times} AS e ASOF LEFT JOIN (SELECT job, effective_ts,
+      CASE WHEN trim(arg_max(value, seq)) = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(trim(arg_max(value, seq)), ',') END AS sets
+      FROM {igset_log} GROUP BY job, effective_ts) AS c ON e.job = c.job AND e.ts >= c.effective_ts"""
+_RULES_ASOF = f"""SELECT p.set_name, p.line_no, p.pattern, v.since, v.until FROM {{rule_versions}} AS p JOIN (SELECT set_name, effective_ts AS since,
+      lead(effective_ts) OVER (PARTITION BY set_name ORDER BY effective_ts NULLS FIRST) AS until FROM (SELECT DISTINCT set_name, effective_ts FROM {{rule_versions}}) AS d) AS v
+    ON p.set_name = v.set_name AND p.effective_ts IS NOT DISTINCT FROM v.since WHERE {_ACTIVE}"""
+_FILLED_ASOF = f"""SELECT n.job, r.* REPLACE (replace(r.pattern, '{{{{any_start_netloc}}}}', {_ESCAPE}) AS pattern) FROM ({_RULES_ASOF}) AS r
+      JOIN ({_NETLOCS}) AS n ON contains(r.pattern, '{{{{any_start_netloc}}}}')
+    UNION ALL SELECT j.job, r.* FROM ({_RULES_ASOF}) AS r JOIN (SELECT DISTINCT job FROM {{candidates}}) AS j ON NOT contains(r.pattern, '{{{{any_start_netloc}}}}')"""
+_BLAMED_ASOF = f"""SELECT c.job, c.seq, c.url, c.verdict, min_by(d.pattern, {{{{'s': d.set_name, 'l': d.line_no}}}}) AS blamed
+    FROM ({_SETS_ASOF}) AS c LEFT JOIN ({_FILLED_ASOF}) AS d ON c.job = d.job AND (list_contains(c.sets, d.set_name) OR d.set_name = concat('own:', c.job))
+      AND (d.since IS NULL OR c.ts >= d.since) AND (d.until IS NULL OR c.ts < d.until) AND regexp_matches(c.url, d.pattern)
+    GROUP BY c.job, c.seq, c.url, c.verdict"""
+_VERDICT_ASOF = _verdict_sql(blamed=_BLAMED_ASOF)
+
+
+@query("verdict_asof", _VERDICT_ASOF)
+def verdict_asof(t):
+    """Verdicts under the rule sets each crawl used, and the lines they had, at the URL's time."""
+    return rules_asof(t["candidate_times"], t["seeds"], t["rule_versions"], t["igset_log"]).select(*_OUT)
+
+
 @query(
     "set_igset_default",
     """SELECT job, igset, count(*) AS n FROM (SELECT concat('job', CAST(user_id % 8 AS VARCHAR)) AS job,

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trawlkit.operators import counters, dupes, telemetry
 from trawlkit.operators.digest_index import DigestIndex
 from trawlkit.operators.responses import verdict_response
+from trawlkit.operators.rule_versions import verdict_asof
 from trawlkit.operators.url_rules import load_rules, verdict_url
 from trawlkit.session import written_table
 
@@ -86,6 +87,19 @@ def stream_verdicts(
     return run(candidates, each, checkpoint, once=once)
 
 
+def stream_verdicts_asof(
+    candidates: DataFrame, seeds: DataFrame, versions: Callable[[], DataFrame], controls: Callable[[], DataFrame], path: str, checkpoint: str, once: bool = True
+) -> StreamingQuery:
+    """URL verdicts under the sets and rules in force at each URL's time; both logs are read again
+    for every batch. A replayed batch gives the same rows, also when the logs have grown since."""
+
+    def each(batch_df: DataFrame, batch: int) -> None:
+        done = verdict_asof(batch_df, seeds, versions(), controls())
+        done.write.mode("overwrite").parquet(_batch_folder(path, batch))
+
+    return run(candidates, each, checkpoint, once=once)
+
+
 def stream_dupes(
     pages: DataFrame, store: str, path: str, checkpoint: str, scope: str | None = None, compact_every: int = COMPACT_EVERY, once: bool = True
 ) -> StreamingQuery:
