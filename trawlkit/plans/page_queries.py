@@ -458,3 +458,42 @@ def sink_archive_write(t):
     warc.write_archive(A.plan_files(records, ["job", "shard"], limit=200_000), uri, software="trawlkit/1")
     files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+# Every page twice: the second copy of a body in a job is written as a reference to the first. Records are
+# read back through the index, by file, offset and length.
+_ARCHIVED = """SELECT page_id + c.copy * 1000000 AS seq, url, html, regexp_extract(url, '^https?://[^/]+/([a-z]+)', 1) AS job, page_id % 3 AS kind_of
+  FROM {pages}, (SELECT 0 AS copy UNION ALL SELECT 1) AS c"""
+
+
+@query(
+    "archive_records",
+    f"""SELECT concat(job, '-00000-', lpad(CAST(file_no AS VARCHAR), 5, '0'), '.warc.gz') AS file, url, mime,
+          CASE WHEN nth > 1 THEN 'revisit' WHEN kind_of = 0 THEN 'resource' ELSE 'response' END AS kind,
+          CASE WHEN kind_of > 0 THEN concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10), chr(13), chr(10)) END AS head,
+          CASE WHEN nth = 1 THEN md5(html) END AS body_md5
+        FROM (SELECT *, CASE WHEN kind_of = 0 THEN 'text/plain' END AS mime, row_number() OVER (PARTITION BY job, html ORDER BY seq) AS nth,
+                CAST(floor((sum(strlen(html)) OVER (PARTITION BY job ORDER BY seq) - strlen(html)) / 200000.0) AS BIGINT) AS file_no FROM ({_ARCHIVED}) AS p) AS a""",
+)
+def archive_records(t):
+    from trawlkit.sources import warc
+
+    path = scratch_path(t.spark, "warc")
+    uri = path if "://" in path else "file://" + path.removeprefix("file:")
+    header = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html").alias("value")))
+    head = warc.http_head(F.lit("HTTP/1.1"), F.lit(200), F.lit("OK"), header)
+    records = t.sql(_ARCHIVED).select(
+        "job",
+        F.lit(0).alias("shard"),
+        "seq",
+        "url",
+        F.lit(None).cast("timestamp").alias("ts"),
+        F.col("html").cast("binary").alias("body"),
+        F.octet_length("html").alias("size"),
+        F.when(F.col("kind_of") > 0, head).alias("head"),
+        F.when(F.col("kind_of") == 0, "text/plain").alias("mime"),
+    )
+    planned = A.plan_files(A.mark_repeats(records), ["job", "shard"], limit=200_000)
+    index = warc.write_archive(planned, uri, software="trawlkit/1")
+    back = warc.read_records(index, uri).join(index.select("file", "offset", "mime"), ["file", "offset"])
+    return back.select("file", "url", "mime", "kind", "head", F.md5("body").alias("body_md5"))
