@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from trawlkit.functions import bodies as B
 from trawlkit.functions import urls
-from trawlkit.session import written_table
+from trawlkit.session import lookup_side, written_table
 
 _ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 _LINE = rf"([^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+)"
 
 
+def pages_of_pairs(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pages that pairs(left, right) name."""
+    named = pairs.select(F.explode(F.array("left", "right")).alias("seq")).distinct()
+    return pages.join(lookup_side(named), "seq", "left_semi")
+
+
 def _side(pages: DataFrame, side: str) -> DataFrame:
     return pages.select(*[F.col(c).alias(f"{c}_{side}") for c in ("seq", "url_md5", "length", "digest")])
 
@@ -22,7 +28,8 @@ def page_compare(pages: DataFrame, pairs: DataFrame, normalize: bool = True) ->
     lengths, and whether the normalised bodies are the same. Bodies are reduced to a length and
     a digest, written out once, before the joins."""
     data = F.col("body").cast("binary")
-    ready = B.normalize_body(pages, out="_done") if normalize else pages.withColumn("_done", data)
+    named = pages_of_pairs(pages, pairs)
+    ready = B.normalize_body(named, out="_done") if normalize else named.withColumn("_done", data)
     facts = ready.select(
         "seq",
         urls.md5_url(F.col("url")).alias("url_md5"),
@@ -49,7 +56,7 @@ def line_diff(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     UTF-8 become replacement characters.
     """
     text = F.make_valid_utf8(F.col("body").cast("string"))
-    lines = pages.select("seq", F.explode(page_lines(text)).alias("line")).groupBy("seq", "line").agg(F.count("*").alias("n"))
+    lines = pages_of_pairs(pages, pairs).select("seq", F.explode(page_lines(text)).alias("line")).groupBy("seq", "line").agg(F.count("*").alias("n"))
     sides = pairs.select("left", "right", F.col("left").alias("seq"), F.lit(-1).alias("sign")).unionByName(
         pairs.select("left", "right", F.col("right").alias("seq"), F.lit(1).alias("sign"))
     )

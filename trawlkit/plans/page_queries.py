@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trawlkit.functions import bodies as B
 from trawlkit.functions import urls
 from trawlkit.operators import archive as A
-from trawlkit.operators import compare, dupes, frontier, links
+from trawlkit.operators import compare, dupes, frontier, links, page_diff
 from trawlkit.operators import settings as S
 from trawlkit.plans.registry import add, query
 from trawlkit.session import lookup_side, scratch_path
@@ -267,6 +267,34 @@ def page_line_diff(t):
     return compare.line_diff(t["bodies"], _pairs(t))
 
 
+# Every document, its lines numbered, against an edition of it: of ten lines the fourth is gone and the eighth changed.
+_NUMBERED = """SELECT doc_id, string_split(text, chr(10)) AS lines, len(string_split(text, chr(10))) AS n FROM {documents} WHERE text IS NOT NULL"""
+
+
+@query(
+    "page_diff",
+    f"""WITH l AS (SELECT doc_id, n, unnest(lines) AS line, unnest(range(n)) AS i FROM ({_NUMBERED}) AS d),
+          s AS (SELECT doc_id, n, i, concat(i, ' ', line) AS line, i - (i + 6) // 10 AS j FROM l),
+          c AS (SELECT doc_id, i, i % 10 = 7 AS changed, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS hunk FROM s WHERE i % 10 IN (3, 7)),
+          r AS (SELECT c.doc_id, hunk, CASE WHEN s.i < c.i THEN 0 WHEN s.i = c.i THEN 1 WHEN changed THEN 3 ELSE 2 END AS pos,
+                  CASE WHEN s.i = c.i THEN '-' ELSE ' ' END AS tag, s.i + 1 AS left_no, CASE WHEN s.i <> c.i THEN s.j + 1 END AS right_no, line
+                FROM c JOIN s ON s.doc_id = c.doc_id AND s.i BETWEEN c.i - 1 AND c.i + 1
+                UNION ALL SELECT c.doc_id, hunk, 2, '+', NULL, s.j + 1, concat(line, '!') FROM c JOIN s ON s.doc_id = c.doc_id AND s.i = c.i WHERE changed)
+        SELECT doc_id * 2 AS "left", doc_id * 2 + 1 AS "right", CAST(hunk AS INTEGER) AS hunk, CAST(pos AS INTEGER) AS pos, tag,
+          CAST(left_no AS INTEGER) AS left_no, CAST(right_no AS INTEGER) AS right_no, concat(line, chr(10)) AS line FROM r""",
+)
+def ordered_page_diff(t):
+    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(i.cast("string"), F.lit(" "), line, F.lit("\n")))
+    kept = F.filter(F.col("lines"), lambda line, i: i % 10 != 3)
+    # Places after the filter are no longer those of the lines, so lines are changed by the number they begin with.
+    changed = F.transform(kept, lambda line: F.when(line.rlike(r"^[0-9]*7 "), F.concat(F.rtrim(line, F.lit("\n")), F.lit("!\n"))).otherwise(line))
+    docs = t["documents"].where(F.col("text").isNotNull()).select("doc_id", numbered.alias("lines"))
+    left = docs.select((F.col("doc_id") * 2).alias("seq"), F.array_join("lines", "").alias("body"))
+    right = docs.select((F.col("doc_id") * 2 + 1).alias("seq"), F.array_join(changed, "").alias("body"))
+    pairs = docs.select((F.col("doc_id") * 2).alias("left"), (F.col("doc_id") * 2 + 1).alias("right"))
+    return page_diff.page_diff(left.unionByName(right), pairs, context=1)
+
+
 # Links.
 
 
