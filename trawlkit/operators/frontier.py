@@ -43,13 +43,25 @@ def in_scope(dst: Column, root: Column, local: Column, inline: Column, no_parent
     return inline | (local & under) | (~local & F.lit(offsite))
 
 
+def as_reach(places: DataFrame) -> DataFrame:
+    """(job, url, reach, root) of places(job, url, level, depth, kind, root)."""
+    kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    return places.select("job", "url", F.struct(kind.alias("kind"), F.col("level").cast("int").alias("level"), F.col("depth").cast("int").alias("depth")).alias("reach"), "root")
+
+
+def as_places(reached: DataFrame) -> DataFrame:
+    """The way back."""
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    return reached.select("job", "url", "reach.level", "reach.depth", F.element_at(kinds, F.col("reach.kind") + 1).alias("kind"), "root")
+
+
 def _heavy_sources(links: DataFrame, per_key: int) -> DataFrame:
     """Sources with more links than one key may have, and into how many parts they are split."""
     counted = links.groupBy("job", "src").count().where(F.col("count") > per_key)
     return written_table(counted.select("job", "src", F.ceil(F.col("count") / per_key).cast("int").alias("parts")), "heavy")
 
 
-def _newest(
+def newly_reached(
     sources: DataFrame,
     links: DataFrame,
     keys: list[str],
@@ -126,13 +138,10 @@ def expand_frontier(
             sources = sources.withColumn("part", F.explode(F.sequence(F.lit(0), last_part))).drop("parts")
         number += 1
         reached.add(
-            _newest(sources, graph.rows(), keys, reached.rows(), max_level, requisites_level, offsite, no_parent), number
+            newly_reached(sources, graph.rows(), keys, reached.rows(), max_level, requisites_level, offsite, no_parent), number
         )
     graph.close()
-    kinds = F.array(*[F.lit(k) for k in KINDS])
-    return reached.close().select(
-        "job", "url", "reach.level", "reach.depth", F.element_at(kinds, F.col("reach.kind") + 1).alias("kind"), "root"
-    )
+    return as_places(reached.close())
 
 
 def new_urls(candidates: DataFrame, queued: DataFrame) -> DataFrame:

@@ -47,6 +47,20 @@ def st_counters(t):
     return flows.latest_batches(t.spark, path, ["job"])
 
 
+@query(
+    "st_queue_counters",
+    """SELECT job, count(*) FILTER (WHERE event = 'queued') AS items_queued, count(*) FILTER (WHERE event = 'dequeued') AS items_downloaded,
+         count(*) FILTER (WHERE event = 'queued') - count(*) FILTER (WHERE event = 'dequeued') AS backlog FROM {queue_events} GROUP BY job""",
+)
+def st_queue_counters(t):
+    path, offsets = _paths(t, "queue-counters")
+    kind = F.col("event_type")
+    event = F.when(kind.isin("view", "click", "signup"), "queued").when(kind == "purchase", "dequeued").otherwise("other")
+    events = _stream(t, "events", _EVENTS).select(F.concat(F.lit("job"), F.col("user_id") % 8).alias("job"), event.alias("event"))
+    _finish(flows.stream_queue_counters(events, ["job"], path, offsets))
+    return flows.latest_batches(t.spark, path, ["job"])
+
+
 @query("st_ignores", url_queries._verdict_sql())
 def st_ignores(t):
     path, offsets = _paths(t, "verdicts")

@@ -9,7 +9,7 @@ from trawlkit.operators import queue as Q
 from trawlkit.operators import url_rules as U
 from trawlkit.operators.rule_versions import verdict_asof as rules_asof
 from trawlkit.operators.settings import settings_asof
-from trawlkit.plans.crawl_round import crawl_round
+from trawlkit.plans.crawl_round import crawl_round, queue_round
 from trawlkit.plans.registry import add, query
 from trawlkit.session import scratch_path
 from trawlkit.sources import tables as S
@@ -386,6 +386,12 @@ _TARGETS = f"""SELECT DISTINCT v.job, concat(regexp_extract(v.url, '^([a-z]+://[
     JOIN (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM {{pages}}) AS h ON v.seq = h.page_id WHERE v.accepted OR v.reason = 'seed' OR v.reason = 'passed'"""
 
 
+def _responses(t):
+    heads = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html").alias("value")))
+    bodies = t["pages"].select(F.col("page_id").alias("seq"), F.col("html").cast("binary").alias("body"))
+    return t["candidates"].select("job", "seq", "url").join(bodies, "seq").select("*", F.lit("HTTP/1.1").alias("version"), heads.alias("headers"))
+
+
 @query(
     "crawl_round",
     f"""SELECT t.job, t.url FROM ({_TARGETS}) AS t WHERE NOT EXISTS (SELECT 1 FROM {{candidates}} AS c WHERE c.job = t.job AND c.url = t.url)
@@ -393,10 +399,35 @@ _TARGETS = f"""SELECT DISTINCT v.job, concat(regexp_extract(v.url, '^([a-z]+://[
 )
 def crawl_round_queue(t):
     """URLs to queue after the pages were fetched."""
-    heads = F.array(F.struct(F.lit("Content-Type").alias("name"), F.lit("text/html").alias("value")))
-    bodies = t["pages"].select(F.col("page_id").alias("seq"), F.col("html").cast("binary").alias("body"))
-    responses = t["candidates"].select("job", "seq", "url").join(bodies, "seq").select("*", F.lit("HTTP/1.1").alias("version"), heads.alias("headers"))
-    return crawl_round(responses, t["seeds"], U.load_rules(t["patterns"])).queue
+    return crawl_round(_responses(t), t["seeds"], U.load_rules(t["patterns"])).queue
+
+
+# The same with a queue: four of five pages have answers, with places of several levels and kinds.
+
+_QUEUE = """SELECT job, seq, url, seq % 5 <> 4 AS answered, 'todo' AS status, CAST(seq % 4 AS INT) AS level, 0 AS depth,
+  CASE WHEN seq % 7 = 0 THEN 'leaf' ELSE 'page' END AS kind, CASE WHEN seq % 3 = 0 THEN url ELSE concat(regexp_extract(url, '^([a-z]+://[^/]*)', 1), '/') END AS root FROM {candidates}"""
+_REFUSED = f"""EXISTS (SELECT 1 FROM ({_distinct("true", "{candidates}")}) AS d WHERE d.job = x.job AND regexp_matches(x.url, d.pattern))"""
+
+
+@query(
+    "queue_round",
+    f"""WITH q AS ({_QUEUE}), host AS (SELECT DISTINCT job, regexp_extract(url, '^[a-z]+://([^/:]*)', 1) AS host FROM {{seeds}}),
+          v AS (SELECT q.*, v.reason <> 'ignored' AS taken FROM q JOIN ({_verdict_sql()}) AS v ON q.job = v.job AND q.seq = v.seq),
+          f AS (SELECT v.job, concat(regexp_extract(v.url, '^([a-z]+://[^/]*)', 1), h.link) AS url, v.level + 1 AS level, v.root,
+                  o.host IS NOT NULL AS local
+                FROM v JOIN (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM {{pages}}) AS h ON v.seq = h.page_id
+                LEFT JOIN host AS o ON o.job = v.job AND o.host = regexp_extract(v.url, '^[a-z]+://([^/:]*)', 1)
+                WHERE v.answered AND v.taken AND v.kind = 'page' AND v.level < 3),
+          n AS (SELECT job, url, min({{{{'k': CASE WHEN local THEN 0 ELSE 1 END, 'l': level, 'r': root}}}}) AS best FROM f
+                WHERE NOT local OR starts_with(url, regexp_extract(regexp_extract(root, '^([^?#]*)', 1), '^(.*/)', 1)) GROUP BY job, url)
+        SELECT job, url, CASE WHEN NOT answered THEN 'todo' WHEN taken THEN 'done' ELSE 'skipped' END AS status, level, depth, kind, root FROM v
+        UNION ALL SELECT job, url, CASE WHEN {_REFUSED} THEN 'skipped' ELSE 'todo' END, best.l, 0, CASE best.k WHEN 0 THEN 'page' ELSE 'leaf' END, best.r FROM n AS x
+          WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.job = x.job AND q.url = x.url)""",
+)
+def whole_queue_round(t):
+    queue = t.sql(_QUEUE)
+    answers = _responses(t).join(queue.where("answered").select("seq"), "seq", "left_semi")
+    return queue_round(answers, queue.drop("seq", "answered"), t["seeds"], U.load_rules(t["patterns"]), max_level=3).queue
 
 
 # Queue.

@@ -9,6 +9,7 @@ from trawlkit.functions import urls
 from trawlkit.session import broadcast_if_small
 
 USER_SET = "user"
+SITEMAP = "/sitemap.xml"
 
 
 def seed_table(spark: SparkSession, start_urls: list[str], job: str = "job") -> DataFrame:
@@ -56,9 +57,11 @@ def sitemap_urls(seeds: DataFrame, responses: DataFrame) -> DataFrame:
     Broken XML gives the entries that can be read.
     """
     url = F.col("url")
-    root = F.concat(urls.url_scheme(url), F.lit("://"), urls.url_netloc(url), F.lit("/sitemap.xml"))
+    root = F.concat(urls.url_scheme(url), F.lit("://"), urls.url_netloc(url), F.lit(SITEMAP))
     roots = seeds.select("job", root.alias("url")).distinct()
-    found = responses.select("url", F.col("body").cast("string").alias("xml")).join(broadcast_if_small(roots), "url")
+    # Bodies of other URLs are dropped where they lie, before the join.
+    maps = responses.where(url.endswith(SITEMAP))
+    found = maps.select("url", F.col("body").cast("string").alias("xml")).join(broadcast_if_small(roots), "url")
     entries = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:[A-Za-z_][\w.-]*:)?loc\s*>\s*(?:<!\[CDATA\[)?\s*(.*?)\s*(?:\]\]>)?\s*</"), 1)
     listed = found.select("job", F.explode(entries).alias("_loc"))
     return listed.select("job", F.replace(F.col("_loc"), F.lit("&amp;"), F.lit("&")).alias("url")).distinct()

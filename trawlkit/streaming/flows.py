@@ -65,6 +65,11 @@ def stream_counters(results: DataFrame, keys: list[str], path: str, checkpoint:
     return write_batches(counters.job_counters(results, keys), path, checkpoint, "update", once)
 
 
+def stream_queue_counters(events: DataFrame, keys: list[str], path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Live queued, dequeued and backlog; each batch writes the crawls that changed."""
+    return write_batches(counters.event_counts(events, keys), path, checkpoint, "update", once)
+
+
 def latest_batches(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Newest row of each key in a folder of update batches."""
     return counters.latest_snapshot(spark.read.parquet(path), keys, BATCH).drop(BATCH)
