@@ -43,13 +43,13 @@ def in_scope(dst: Column, root: Column, local: Column, inline: Column, no_parent
     return inline | (local & under) | (~local & F.lit(offsite))
 
 
-def as_reach(places: DataFrame) -> DataFrame:
+def _as_reach(places: DataFrame) -> DataFrame:
     """(job, url, reach, root) of places(job, url, level, depth, kind, root)."""
     kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     return places.select("job", "url", F.struct(kind.alias("kind"), F.col("level").cast("int").alias("level"), F.col("depth").cast("int").alias("depth")).alias("reach"), "root")
 
 
-def as_places(reached: DataFrame) -> DataFrame:
+def _as_places(reached: DataFrame) -> DataFrame:
     """The way back."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return reached.select("job", "url", "reach.level", "reach.depth", F.element_at(kinds, F.col("reach.kind") + 1).alias("kind"), "root")
@@ -61,7 +61,7 @@ def _heavy_sources(links: DataFrame, per_key: int) -> DataFrame:
     return written_table(counted.select("job", "src", F.ceil(F.col("count") / per_key).cast("int").alias("parts")), "heavy")
 
 
-def newly_reached(
+def _newest(
     sources: DataFrame,
     links: DataFrame,
     keys: list[str],
@@ -138,10 +138,27 @@ def expand_frontier(
             sources = sources.withColumn("part", F.explode(F.sequence(F.lit(0), last_part))).drop("parts")
         number += 1
         reached.add(
-            newly_reached(sources, graph.rows(), keys, reached.rows(), max_level, requisites_level, offsite, no_parent), number
+            _newest(sources, graph.rows(), keys, reached.rows(), max_level, requisites_level, offsite, no_parent), number
         )
     graph.close()
-    return as_places(reached.close())
+    return _as_places(reached.close())
+
+
+def next_places(
+    sources: DataFrame,
+    links: DataFrame,
+    queue: DataFrame,
+    max_level: int | None = None,
+    requisites_level: int = REQUISITES_LEVEL,
+    offsite: bool = True,
+    no_parent: bool = True,
+) -> DataFrame:
+    """Places (job, url, level, depth, kind, root) that links(job, src, dst, inline, local) of the sources add to a queue.
+
+    Sources and queue have the same columns; the rules are those of `expand_frontier`.
+    """
+    start = _as_reach(sources).withColumnRenamed("url", "src")
+    return _as_places(_newest(start, links, ["job", "src"], _as_reach(queue), max_level, requisites_level, offsite, no_parent))
 
 
 def new_urls(candidates: DataFrame, queued: DataFrame) -> DataFrame:

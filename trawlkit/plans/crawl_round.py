@@ -101,9 +101,7 @@ def queue_round(
     found = seen.links.select("job", F.col("url").alias("src"), F.col("dst_url").alias("dst"), "inline").distinct()
     found = found.withColumn("host", urls.url_host(F.col("dst"))).join(broadcast_if_small(hosts), ["job", "host"], "left")
     found = found.withColumn("local", F.coalesce("local", F.lit(False))).drop("host")
-    reached = frontier.as_reach(old)
-    sources = frontier.as_reach(old.where("_taken")).withColumnRenamed("url", "src")
-    places = frontier.as_places(frontier.newly_reached(sources, found, ["job", "src"], reached, max_level, requisites_level, offsite, no_parent))
+    places = frontier.next_places(old.where("_taken"), found, old, max_level, requisites_level, offsite, no_parent)
     put = verdict_url(written_table(places, "places").withColumn("verdict", F.lit(True)), seeds, rules)
     new = put.withColumn("status", F.when(F.col("accepted"), "todo").otherwise("skipped"))
     columns = ["job", "url", "status", "level", "depth", "kind", "root"]
