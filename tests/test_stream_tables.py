@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawlkit.plans import catalog
 
-NAMES = ["dupe_stream"]
+NAMES = ["dupe_stream", "st_dupes"]
 
 
 @pytest.fixture(scope="module")
