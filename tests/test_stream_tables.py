@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawlkit.plans import catalog
 
-NAMES = ["dupe_stream", "st_dupes", "st_ignores"]
+NAMES = ["dupe_stream", "st_dupes", "st_ignores", "st_rule_versions"]
 
 
 @pytest.fixture(scope="module")
