@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,3 +329,28 @@ def test_grades_out_of_range_are_no_grades(spark, documents):
     docs = documents([(i, f"word{i % 3} bad" if i % 2 else "word good") for i in range(40)])
     grades = spark.createDataFrame([(i, [0, 2, 9, -1][i % 4]) for i in range(40)], "doc_id long, grade int")
     assert toxicity.train(docs, grades, n_grades=3) is not None
+
+
+def test_pieces_of_an_overloaded_anchor(documents, monkeypatch):
+    """A passage in many texts: a few pieces a text, not a row for each of its strings, and equal results."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage, made, cut = letters(700), [], repeats._cut_pieces
+    texts = [letters(rng.randrange(500)) + passage[rng.randrange(90) : 700 - rng.randrange(90)] + letters(rng.randrange(500)) for _ in range(40)]
+    texts += [texts[3], texts[4][5:], None, "", passage]
+    frame = documents(list(enumerate(texts))).select("doc_id", "text")
+    usual = {r.doc_id: r[1:] for r in repeats.remove_repeats(frame, keep_bytes=False).collect()}
+
+    def counted(width):
+        made.append(width)
+        return cut(width)
+
+    monkeypatch.setattr(repeats, "HOT_SEGMENTS", 2)
+    monkeypatch.setattr(repeats, "_cut_pieces", counted)
+    assert {r.doc_id: r[1:] for r in repeats.remove_repeats(frame, keep_bytes=False).collect()} == usual
+    assert made == list(repeats.PIECES)
+
+    batch = pa.RecordBatch.from_pydict({"k1": [1], "k2": [2], "start": [7], "bytes": [passage[:600].encode()]})
+    pieces = next(cut(repeats.PIECES[0])(iter([batch])))
+    starts = [s + i - 7 for s, b in zip(pieces["start"].to_pylist(), pieces["bytes"].to_pylist(), strict=True) for i in range(len(b) - repeats.WINDOW + 1)]
+    assert starts == list(range(201)) and pieces.num_rows <= 6
