@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from paths import DATA
 from pyspark.sql import functions as F
@@ -292,3 +294,23 @@ def test_scores_of_odd_rows(spark):
     assert {(r.score, r.predicted) for r in none} == {(0.5, 1)}
     empty = quality.describe(spark.createDataFrame([], schema))
     assert quality.train(empty, labels) is None and quality.score(empty, model).count() == 0
+
+
+def test_one_portion_of_terms_is_held_at_a_time(monkeypatch):
+    """Many portions take no more memory than one of them."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(2000))
+    monkeypatch.setattr(divergence, "PORTION", 1 << 18)
+    texts = [text() for _ in range(100)]
+
+    def peak(rows):
+        batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(rows), "source": ["s"] * len(rows), "text": rows})
+        tracemalloc.start()
+        counted = sum(b.num_rows for b in divergence._count_level(divergence.FIRST_BYTES)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert counted > 0
+        return most
+
+    peak(texts[:18])
+    assert peak(texts) < 1.2 * peak(texts[:18])

@@ -9,7 +9,7 @@ All arithmetic is exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,16 +68,15 @@ def _lists(flat: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), flat)
 
 
-def _document_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _terms_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Distinct terms of each document and how often each occurs there."""
-    for batch in portions(batches, "text", PORTION):
-        found, owner = words(as_bytes(batch.column("text")))
-        distinct, code = _encoded(found)
-        pair, times = np.unique(owner * max(len(distinct), 1) + code, return_counts=True)
-        text, term = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
-        terms = distinct.take(pa.array(term)).cast(pa.binary())
-        columns = [batch.column("lang"), batch.column("source"), _lists(terms, text, batch.num_rows), _lists(pa.array(times, pa.int32()), text, batch.num_rows)]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "times"])
+    found, owner = words(as_bytes(batch.column("text")))
+    distinct, code = _encoded(found)
+    pair, times = np.unique(owner * max(len(distinct), 1) + code, return_counts=True)
+    text, term = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
+    terms = distinct.take(pa.array(term)).cast(pa.binary())
+    columns = [batch.column("lang"), batch.column("source"), _lists(terms, text, batch.num_rows), _lists(pa.array(times, pa.int32()), text, batch.num_rows)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "times"])
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,34 +94,47 @@ def _prefixes(distinct: pa.Array, size: int) -> pa.Array:
 def _as_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents or rows of terms as rows of terms."""
     for batch in batches:
-        yield from _document_terms(iter([batch])) if "text" in batch.schema.names else [batch]
+        if "text" in batch.schema.names:
+            yield from map(_terms_of, portions([batch], "text", PORTION))
+        elif batch.num_rows:
+            yield batch
+
+
+def _each(make: Callable[[pa.RecordBatch], pa.RecordBatch], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is made of each batch of terms. Nothing of one batch is held while the next is worked on."""
+    for made in map(make, _as_terms(batches)):
+        yield made
+        del made
+        pa.default_memory_pool().release_unused()
+
+
+def _counted(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    distinct, code, times, owner = _flat(batch)
+    whole = pc.binary_length(distinct).to_numpy(zero_copy_only=False) <= size
+    langs, lang = _encoded(batch.column("lang"))
+    sources, source = _encoded(batch.column("source"))
+    width = max(len(distinct), 1)
+    here = whole[code] if len(code) else np.zeros(0, bool)
+    place = ((lang * len(sources) + source)[owner] * width + code)[here]
+    keys, back, docs = np.unique(place, return_inverse=True, return_counts=True)
+    n = np.bincount(back, weights=times[here], minlength=len(keys)).astype(np.int64)
+    del place, back, times
+    group, term = keys // width, keys % width
+    columns = [langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), distinct.take(pa.array(term)), pa.array(np.ones(len(keys), bool)), pa.array(n), pa.array(docs)]
+    complete = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "key", "complete", "n", "docs"])
+    opened, prefix = _encoded(_prefixes(distinct, size))
+    wide = max(len(opened), 1)
+    held = np.unique(owner[~here] * wide + prefix[code[~here]])
+    keys, docs = np.unique(lang[held // wide] * wide + held % wide, return_counts=True)
+    columns = [langs.take(pa.array(keys // wide)), pa.nulls(len(keys), pa.string()), opened.take(pa.array(keys % wide)), pa.array(np.zeros(len(keys), bool)), pa.array(np.zeros(len(keys), np.int64)), pa.array(docs)]
+    return pa.concat_batches([complete, pa.RecordBatch.from_arrays(columns, names=["lang", "source", "key", "complete", "n", "docs"])])
 
 
 def _count_level(size: int):
     """Counts of complete terms by source, and distinct documents of open prefixes, per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _as_terms(batches):
-            if not batch.num_rows:
-                continue
-            distinct, code, times, owner = _flat(batch)
-            whole = pc.binary_length(distinct).to_numpy(zero_copy_only=False) <= size
-            langs, lang = _encoded(batch.column("lang"))
-            sources, source = _encoded(batch.column("source"))
-            width = max(len(distinct), 1)
-            here = whole[code] if len(code) else np.zeros(0, bool)
-            place = ((lang * len(sources) + source)[owner] * width + code)[here]
-            keys, back, docs = np.unique(place, return_inverse=True, return_counts=True)
-            n = np.bincount(back, weights=times[here], minlength=len(keys)).astype(np.int64)
-            group, term = keys // width, keys % width
-            columns = [langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), distinct.take(pa.array(term)), pa.array(np.ones(len(keys), bool)), pa.array(n), pa.array(docs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "key", "complete", "n", "docs"])
-            opened, prefix = _encoded(_prefixes(distinct, size))
-            wide = max(len(opened), 1)
-            held = np.unique(owner[~here] * wide + prefix[code[~here]])
-            keys, docs = np.unique(lang[held // wide] * wide + held % wide, return_counts=True)
-            columns = [langs.take(pa.array(keys // wide)), pa.nulls(len(keys), pa.string()), opened.take(pa.array(keys % wide)), pa.array(np.zeros(len(keys), bool)), pa.array(np.zeros(len(keys), np.int64)), pa.array(docs)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "key", "complete", "n", "docs"])
+        yield from _each(lambda batch: _counted(batch, size), batches)
 
     return run
 
@@ -155,29 +167,29 @@ def _extended(terms: DataFrame, size: int, survivors: DataFrame, n: int) -> Data
     """Terms longer than size whose prefix of that size survived."""
     shared = terms.sparkSession.sparkContext.broadcast(_bitmap(survivors, n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alive(batch: pa.RecordBatch) -> pa.RecordBatch:
         held, bits = shared.value
-        for batch in _as_terms(batches):
-            if not batch.num_rows:
-                continue
-            distinct, code, times, owner = _flat(batch)
-            langs, lang = _encoded(batch.column("lang"))
-            open_term = pc.binary_length(distinct).to_numpy(zero_copy_only=False) > size
-            opened, prefix = _encoded(_prefixes(distinct, size))
-            alive = np.zeros((len(langs), len(distinct)), bool)
-            here = np.unique(prefix[open_term])
-            prefixes = opened.take(pa.array(here)).to_pylist()
-            for k, name in enumerate(langs.to_pylist()):
-                spots = _spots(name, prefixes, bits)
-                good = np.zeros(len(opened), bool)
-                good[here] = (held[spots >> 5] >> (spots & 31).astype(np.uint32) & 1).astype(bool)
-                alive[k] = open_term & good[prefix]
-            kept = alive[lang[owner], code] if len(code) else np.zeros(0, bool)
-            owner, code, times = owner[kept], code[kept], times[kept]
-            used, place = np.unique(owner, return_inverse=True)
-            rows = batch.take(pa.array(used))
-            columns = [rows.column("lang"), rows.column("source"), _lists(distinct.take(pa.array(code)), place, len(used)), _lists(pa.array(times, pa.int32()), place, len(used))]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "times"])
+        distinct, code, times, owner = _flat(batch)
+        langs, lang = _encoded(batch.column("lang"))
+        open_term = pc.binary_length(distinct).to_numpy(zero_copy_only=False) > size
+        opened, prefix = _encoded(_prefixes(distinct, size))
+        survives = np.zeros((len(langs), len(distinct)), bool)
+        here = np.unique(prefix[open_term])
+        prefixes = opened.take(pa.array(here)).to_pylist()
+        for k, name in enumerate(langs.to_pylist()):
+            spots = _spots(name, prefixes, bits)
+            good = np.zeros(len(opened), bool)
+            good[here] = (held[spots >> 5] >> (spots & 31).astype(np.uint32) & 1).astype(bool)
+            survives[k] = open_term & good[prefix]
+        kept = survives[lang[owner], code] if len(code) else np.zeros(0, bool)
+        owner, code, times = owner[kept], code[kept], times[kept]
+        used, place = np.unique(owner, return_inverse=True)
+        rows = batch.select(["lang", "source"]).take(pa.array(used))
+        columns = [rows.column("lang"), rows.column("source"), _lists(distinct.take(pa.array(code)), place, len(used)), _lists(pa.array(times, pa.int32()), place, len(used))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "terms", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _each(alive, batches)
 
     return terms.mapInArrow(run, TERMS)
 
