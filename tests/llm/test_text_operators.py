@@ -132,6 +132,19 @@ def test_similar_documents_of_odd_rows(documents):
     assert shingle_join.similar_documents(documents([(1, "x")]).limit(0)).count() == 0
 
 
+def test_texts_of_similar_documents_are_kept_small(documents, monkeypatch):
+    tables, keep = {}, shingle_join.written_table
+
+    def kept(df, name="table", *codec):
+        tables[name] = keep(df, name, *codec)
+        return tables[name]
+
+    monkeypatch.setattr(shingle_join, "written_table", kept)
+    rows = ["one two three four five six seven", "One two three four five six seven", "one two three four five six eight"]
+    assert shingle_join.similar_documents(documents(list(enumerate(rows)))).count() == 3
+    assert tables["texts"].inputFiles() and all(".zstd." in f for f in tables["texts"].inputFiles())
+
+
 # Repeated strings
 
 

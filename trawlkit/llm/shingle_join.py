@@ -332,7 +332,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     # Texts of the units that stand in a shared list or share a group; one row of each.
     busy = lists.select("grp").unionByName(units.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")).distinct()
     needed = written_table(units.join(busy, "grp").select("row", "unit"), "needed")
-    texts = written_table(work.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("unit", "text"), "texts")
+    texts = written_table(work.select("row", "text").join(needed, "row").dropDuplicates(["row"]).select("unit", "text"), "texts", "zstd")
     found = written_table(_verified(first, texts, percent), "links")
 
     # Second round: what is not connected yet.
