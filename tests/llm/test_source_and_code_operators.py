@@ -314,3 +314,18 @@ def test_one_portion_of_terms_is_held_at_a_time(monkeypatch):
 
     peak(texts[:18])
     assert peak(texts) < 1.2 * peak(texts[:18])
+
+
+def test_portions_hold_documents_of_few_groups(monkeypatch):
+    """Groups that come by turns are counted in few portions each, not in all of them."""
+    monkeypatch.setattr(divergence, "PORTION", 1000)
+    groups = [(lang, f"s{s}") for lang in ("en", "de") for s in range(5)]
+    text = " ".join(f"t{a}{b}xy" for a in "abcd" for b in "efghi")
+    rows = [(*groups[i % len(groups)], text) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["lang", "source", "text"])
+    counted = pa.Table.from_batches(divergence._count_level(8)(iter([batch]))).to_pylist()
+    assert len(counted) <= len(groups) * 20 * 4
+    sums = Counter()
+    for r in counted:
+        sums[r["lang"], r["source"], r["key"], r["complete"]] += r["docs"]
+    assert sums == {(*g, t.encode(), True): 20 for g in groups for t in text.split()}

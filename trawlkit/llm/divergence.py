@@ -26,7 +26,7 @@ from trawlkit.session import written_table
 
 LEAST_DOCUMENTS = 3
 # Bytes of the first prefixes; each level doubles them, so levels grow with the log of the longest shared term.
-FIRST_BYTES = 4
+FIRST_BYTES = 8
 # Bytes of text handled at once in a task.
 PORTION = 4 << 20
 # Surviving prefixes are handed to the next level as a bitmap of 16 bits for each, at most 8 MB.
@@ -92,10 +92,14 @@ def _prefixes(distinct: pa.Array, size: int) -> pa.Array:
 
 
 def _as_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents or rows of terms as rows of terms."""
+    """Documents or rows of terms as rows of terms.
+
+    Documents are taken group by group, so that few portions count the same term of a group.
+    """
     for batch in batches:
         if "text" in batch.schema.names:
-            yield from map(_terms_of, portions([batch], "text", PORTION))
+            order = pc.sort_indices(batch, sort_keys=[("lang", "ascending"), ("source", "ascending")])
+            yield from map(_terms_of, portions([batch.take(order)], "text", PORTION))
         elif batch.num_rows:
             yield batch
 
